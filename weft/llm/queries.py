@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, covertree, decontam, packing, simhash
+from . import binary, chunks, covertree, decontam, extract, licenses, packing, simhash, toxicity
 from .common import read_table
 
 
@@ -16,6 +16,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parts, 2048)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_spans(read_table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_embeddings(read_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
@@ -32,5 +36,29 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_embedding_dedup, op5_simhash, op6_decontamination, op7_token_ids)}
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(read_table(spark, sf_dir, "pages"))
+
+
+def op9_substring_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunks.dedup(read_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores of docs by a model of the labels of those rows of docs that are not held out."""
+    model = toxicity.train(docs, labels.where(~held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs, model)
+    return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op4_embedding_dedup, op5_simhash, op6_decontamination, op7_token_ids, op8_main_text, op9_substring_chunks, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
