@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, chunks, covertree, decontam, extract, licenses, packing, simhash, toxicity
+from . import binary, chunks, covertree, decontam, extract, licenses, packing, simhash, suffix, toxicity
 from .common import read_table
 
 
@@ -20,6 +20,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_spans(read_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read_table(spark, sf_dir, "documents")).drop("text")
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_embeddings(read_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
@@ -60,5 +64,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op4_embedding_dedup, op5_simhash, op6_decontamination, op7_token_ids, op8_main_text, op9_substring_chunks, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_suffix_dedup, op4_embedding_dedup, op5_simhash, op6_decontamination, op7_token_ids, op8_main_text, op9_substring_chunks, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
