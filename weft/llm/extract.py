@@ -26,7 +26,7 @@ BOILERPLATE = {"nav", "footer", "aside", "form", "head", "button", "dialog", "me
 VOID = {"br", "img", "hr", "meta", "link", "input", "wbr", "source", "area", "base", "col", "embed", "track", "param"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 MARKS = {"ad", "ads", "adbox", "advert", "adverts", "advertisement", "advertising", "adsbygoogle", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "newsletter", "subscribe", "subscription", "sidebar", "menu", "nav", "navbar", "navigation", "topbar", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond", "share", "sharing", "social", "related", "recommended", "recommendations", "widget", "popup", "modal", "overlay", "login", "signup", "search", "pagination", "pager", "copyright", "toolbar", "skip", "complementary", "contentinfo", "alert"}
-FIXED = {"word": 1.0, "link": 0.1, "out": -2.0, "tag": -0.5, "a": -1.0, "li": -1.0, "/li": -0.5, "/a": -0.5, "p": -0.1, "/p": -0.1, "b": -0.1, "i": -0.1, "em": -0.1, "br": -0.1, "h1": -0.1, "h2": -0.1, "h3": -0.1}
+FIXED = {"word": 1.0, "link": 0.1, "out": -1.0, "tag": -0.5, "a": -0.5, "li": -0.4, "/li": -0.2, "/a": -0.2, "p": -0.1, "/p": -0.1, "b": -0.1, "i": -0.1, "em": -0.1, "br": -0.1, "h1": -0.1, "h2": -0.1, "h3": -0.1}
 
 PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -107,9 +107,9 @@ def from_counts(inside: dict[str, int], outside: dict[str, int]) -> dict[str, fl
         elif kind == "link":
             out[kind] = min(0.5, max(-1.0, odds))
         elif kind == "out":
-            out[kind] = min(-1.0, odds)
+            out[kind] = max(-2.0, min(-0.5, odds))
         elif kind != " ":
-            out[kind] = max(-8.0, min(-0.05, odds))
+            out[kind] = max(-4.0, min(-0.05, odds))
     return out
 
 
@@ -120,7 +120,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     for k, (kind, _, words, _) in enumerate(found):
         if kind == " ":
             continue
-        run += weights.get(kind, weights["tag"]) * (words if words > 0 else 1)
+        run += weights.get(kind, weights["tag"]) * (words if kind in ("word", "link") else 1)
         if run <= 0:
             run, start = 0.0, k + 1
         elif run > best:
