@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import strsim, text
-from ..operators import blocking, competition, decide, ensemble, metrics, models, sampling
+from ..operators import blocking, competition, decide, ensemble, metrics, models, sampling, synth, translit
 from ..operators import records as rec
 from ..sources import lists
 from . import views as V
@@ -767,6 +767,48 @@ def support(spark, d):
     return rounded(s, "sup_name_max", "sup_addr_max", "sup_prob_of_best", "sup_weighted", "sup_other_src_name_max").drop("src", "prob2", "name", "addr")
 
 
+# ------------------------------------------------------------------ transliteration and synthetic records
+
+_RPT = """tx AS (SELECT [w0 for w0 in list_distinct(regexp_extract_all(lower(b.name_key), '[^\\s!-/:-@\\[-`{-~]+')) if regexp_matches(w0, '[^\\x00-\\x7F]')] AS f, list_distinct(regexp_extract_all(lower(a.name_key), '[^\\s!-/:-@\\[-`{-~]+')) AS e FROM rp JOIN records a ON a.id = q JOIN records b ON b.id = p
+  UNION ALL SELECT [w0 for w0 in list_distinct(regexp_extract_all(lower(b.addr_norm), '[^\\s!-/:-@\\[-`{-~]+')) if regexp_matches(w0, '[^\\x00-\\x7F]')], list_distinct(regexp_extract_all(lower(a.addr_norm), '[^\\s!-/:-@\\[-`{-~]+')) FROM rp JOIN records a ON a.id = q JOIN records b ON b.id = p),
+tn AS (SELECT unnest(f) AS src, e FROM tx WHERE len(f) > 0)"""
+
+
+@query(f"""WITH {_RP}, {_RPT}, tot AS (SELECT src, count(*) AS n FROM tn GROUP BY src HAVING count(*) >= 2), pr AS (SELECT src, dst, count(*) AS c FROM (SELECT src, unnest(e) AS dst FROM tn) WHERE NOT regexp_matches(dst, '^\\d+$') GROUP BY ALL),
+sc AS (SELECT src, dst, round(c / n::DOUBLE * (0.5::DOUBLE + length(dst) / (length(dst) + abs(length(dst) - length(src)))::DOUBLE), 9) AS score FROM pr JOIN tot USING (src))
+SELECT src, dst, round(score, 6) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) = 1 AND score >= 0.3""")
+def learn_transliteration(spark, d):
+    """B24, M11, with a length ratio for the sound of words."""
+    n = V.records(spark, d)
+    side = lambda o, s: n.select(F.col("id").alias(o), F.col("name_key").alias(f"{s}_name"), F.col("addr_norm").alias(f"{s}_addr"))
+    x = _record_pairs(spark, d).join(side("q", "a"), "q").join(side("p", "b"), "p")
+    length = lambda a, b: F.length(b) / (F.length(b) + F.abs(F.length(b) - F.length(a)))
+    return rounded(translit.learn(x, length, 2, 0.3), "score")
+
+
+def _named(spark, d) -> DataFrame:
+    return V.records(spark, d).select("id", "country", F.col("name_key").alias("name"), F.col("addr_norm").alias("addr"))
+
+
+@query()
+def synthetic_pairs(spark, d):
+    """I34, I35."""
+    return synth.labelled_pairs(_named(spark, d))
+
+
+@query()
+def synthetic_world(spark, d):
+    """The pool."""
+    n = _named(spark, d)
+    return synth.world(n.where("id % 3 = 0").drop("country"), n.where("id % 3 <> 0").drop("country"))[1]
+
+
+@query()
+def synthetic_groups(spark, d):
+    """I37."""
+    return synth.groups(_named(spark, d))
+
+
 # ------------------------------------------------------------------ models
 
 

@@ -24,7 +24,7 @@ def read_records(spark: SparkSession, first: str, *pools: str) -> tuple[DataFram
 
 def explode_lists(df: DataFrame, col: str = "matched_entity_ids", key: str = "source1_entity_id") -> DataFrame:
     """(q, p) from comma lists; empty ids go."""
-    return df.select(F.col(key).alias("q"), F.explode(F.split(col, ",")).alias("p")).where((F.col("p") != "") & (F.col("q") != ""))
+    return df.select(F.col(key).alias("q"), F.explode(F.split(F.col(col), ",")).alias("p")).where((F.col("p") != "") & (F.col("q") != ""))
 
 
 def read_lists(spark: SparkSession, path: str, col: str = "matched_entity_ids") -> DataFrame:
@@ -56,7 +56,7 @@ def validate(spark: SparkSession, path: str, required: DataFrame, col: str = "ma
     header = spark.createDataFrame([(f"source1_entity_id\t{col}",)], "want string")
     first = lines.agg(F.min_by("line", "at").alias("line"), F.min("at").alias("at"))
     body = lines.join(F.broadcast(first.select(F.col("at").alias("_first"))), F.col("at") != F.col("_first")).where("line <> ''").withColumn("f", F.split("line", "\t"))
-    rows = body.where(F.size("f") == 2).select(F.element_at("f", 1).alias("q"), F.filter(F.split(F.element_at("f", 2), ","), lambda x: x != "").alias("ids"))
+    rows = body.where(F.size("f") == 2).select(F.get("f", 0).alias("q"), F.filter(F.split(F.get("f", 1), ","), lambda x: x != "").alias("ids"))
     each = rows.select("q", F.explode("ids").alias("p"))
     found = [
         ("header", first.crossJoin(F.broadcast(header)).where("NOT line <=> want").select(F.coalesce("line", F.lit("")).alias("x"))),
