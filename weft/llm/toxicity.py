@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 TOKEN = re.compile(r"[^\W_]+")
-PREFIX = range(4, 9)
+PREFIX = range(4, 9)  # Model.heads needs 4 at least
 SAMPLE, LEAST_Z, DRIFT, MOST_SCORE, PRIOR = 20_000, 3.5, -0.25, 4.0, 200.0
 
 
@@ -47,6 +47,9 @@ class Model:
     fit: tuple[float, float, float] = (-50.0, 0.0, 0.0)
     memo: dict[str, float] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.heads = {f[:4] for f in self.weights}  # a word that begins otherwise has no feature
+
     def score(self, word: str) -> float:
         s = self.memo.get(word)
         if s is None:
@@ -59,8 +62,11 @@ class Model:
 
     def scores(self, text: str | None) -> np.ndarray:
         words = TOKEN.findall(text.lower()) if text else []
-        memo, score = self.memo.get, self.score
-        return np.fromiter((memo(w) or score(w) for w in words), np.float64, len(words))
+        out, heads = np.full(len(words), DRIFT), self.heads
+        at = [k for k, w in enumerate(words) if w[:4] in heads]
+        if at:
+            out[at] = [self.score(words[k]) for k in at]
+        return out
 
     def evidence(self, scores: np.ndarray) -> tuple[float, float, list[tuple[int, int, float]]]:
         """Greatest evidence, its sum over significant segments, and those segments (first, end, evidence)."""
