@@ -9,7 +9,8 @@ A string of LENGTH bytes (a window) that starts at two places is repeated; all b
 2. Suffix sort. Contexts are gathered by anchor, and each gathering of bounded size is sorted by the difference cover
    modulo 3: sampled triples are sorted and named, names are sorted by recursion, the remaining suffixes are sorted by
    their first byte and the rank after it and merged in. Adjacent suffixes are compared over LENGTH bytes.
-3. Anchors with very many different contexts (a common phrase) are split: their windows are grouped by digest instead.
+3. Anchors with over HOT different contexts (a common phrase) are split: their windows are dealt anew by what SPAN
+   neighbouring windows have in common, and those whose common bytes stand elsewhere too are grouped by digest.
 
 Null and empty texts have no bytes, and texts under LENGTH bytes lose none. Repeated rows are documents of their own and
 so remove each other; rows are told apart by id and text hash. An empty table gives no rows; columns other than the id
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-LENGTH, GRAM, HOT = 200, 64, 2000
+LENGTH, GRAM, HOT, SPAN = 200, 64, 256, 16
 BLOCK, GATHER = 1 << 21, 1 << 22
 VALUE = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
 _B, _MIX = 0xD1342543DE82EF95, np.uint64(0x9E3779B97F4A7C15)
@@ -55,11 +56,14 @@ def sliding_least(a: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Contexts of the texts: (text, first window's start, windows, anchor's hash). At most 2**24 bytes together."""
+    """Contexts of the texts: (text, first window's start, windows, anchor's hash, its distance from the start).
+
+    At most 2**24 bytes together.
+    """
     data = np.frombuffer(b"".join(texts), np.uint8)
     none = np.empty(0, np.int64)
     if len(data) < length:
-        return none, none, none, np.empty(0, np.uint64)
+        return none, none, none, np.empty(0, np.uint64), none
     h = gram_hashes(data, gram)
     low = np.uint64((1 << 24) - 1)
     least = sliding_least((h & ~low) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
@@ -72,7 +76,7 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     first[1:] &= (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | ~valid[:-1]
     start = np.nonzero(first)[0]
     run = np.cumsum(first)[valid] - 1
-    return doc[start], start - (end - sizes)[doc[start]], np.bincount(run, minlength=len(start)), h[at[start]]
+    return doc[start], start - (end - sizes)[doc[start]], np.bincount(run, minlength=len(start)), h[at[start]], at[start] - start
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -142,18 +146,18 @@ def intervals(hit: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b - 1) for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist())]
 
 
-ANCHORS = "name long, ctx long, id long, th int, s int, n int"
+ANCHORS = "name long, ctx long, id long, th int, s int, n int, rel int"
 SPANS = "name long, ctx long, spans array<struct<lo:int,hi:int>>"
 _SPAN = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
 def _anchor_rows(batches, length: int):
     def out(held):
-        doc, start, n, name = anchors([t for _, _, t, _ in held], length)
+        doc, start, n, name, rel = anchors([t for _, _, t, _ in held], length)
         views = [memoryview(t) for _, _, t, _ in held]
         ctx = [xxhash.xxh3_64_intdigest(views[d][s : s + k + length - 1]) for d, s, k in zip(doc.tolist(), start.tolist(), n.tolist())]
         ids, ths, offs = (np.array([h[c] for h in held], np.int64)[doc] if len(held) else doc for c in (0, 1, 3))
-        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(np.array(ctx, np.uint64).view(np.int64)), pa.array(ids), pa.array(ths.astype(np.int32)), pa.array((start + offs).astype(np.int32)), pa.array(n.astype(np.int32))], names=["name", "ctx", "id", "th", "s", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(np.array(ctx, np.uint64).view(np.int64)), pa.array(ids), pa.array(ths.astype(np.int32)), pa.array((start + offs).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(rel.astype(np.int32))], names=["name", "ctx", "id", "th", "s", "n", "rel"])
 
     for b in batches:
         held, size = [], 0
@@ -175,7 +179,7 @@ def _slices(batches, length: int):
     for b in batches:
         for k in range(b.num_rows):
             t, rows = b.column(0)[k].as_py(), b.column(1)[k].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array([r["name"] for r in rows], pa.int64()), pa.array([r["ctx"] for r in rows], pa.int64()), pa.array([t[r["s"] : r["s"] + r["n"] + length - 1] for r in rows], pa.binary())], names=["name", "ctx", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([r["name"] for r in rows], pa.int64()), pa.array([r["ctx"] for r in rows], pa.int64()), pa.array([t[r["s"] : r["s"] + r["n"] + length - 1] for r in rows], pa.binary()), pa.array([r["rel"] for r in rows], pa.int32())], names=["name", "ctx", "bytes", "rel"])
 
 
 def _sorted(batches, length: int):
@@ -200,12 +204,34 @@ def _sorted(batches, length: int):
         yield out(held)
 
 
+def spans_of(n: int, rel: int) -> dict[int, tuple[int, int]]:
+    """The windows 0..n-1 of a context in spans of SPAN, by distance from the anchor: span -> (first, last) window."""
+    out: dict[int, tuple[int, int]] = {}
+    for k in range(n):
+        j = (rel - k) // SPAN
+        out[j] = (out.get(j, (k, k))[0], k)
+    return out
+
+
+def _cores(batches, length: int):
+    """A digest of the bytes that all windows of a span have in common; they lie in each of its windows."""
+    for b in batches:
+        rows = []
+        for name, ctx, raw, rel in zip(*(b.column(c).to_pylist() for c in range(4))):
+            view = memoryview(raw)
+            for j in spans_of(len(raw) - length + 1, rel):
+                first = rel - j * SPAN  # the window nearest to the anchor starts here, if it is there
+                rows.append((name, ctx, j, xxhash.xxh3_64_intdigest(view[max(0, first) : max(0, first - SPAN + 1 + length)]) - (1 << 63)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["name", "ctx", "j", "d"])
+
+
 def _windows(batches, length: int):
     for b in batches:
-        for name, ctx, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            view, n = memoryview(raw), max(0, len(raw) - length + 1)
-            d = np.array([xxhash.xxh3_64_intdigest(view[k : k + length]) for k in range(n)], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array([ctx] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(d.view(np.int64))], names=["name", "ctx", "k", "d"])
+        for name, ctx, raw, rel, js in zip(*(b.column(c).to_pylist() for c in range(5))):
+            view, own = memoryview(raw), spans_of(len(raw) - length + 1, rel)
+            ks = [k for j in js for k in range(own[j][0], own[j][1] + 1)]
+            d = np.array([xxhash.xxh3_64_intdigest(view[k : k + length]) for k in ks], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(ks), pa.int64()), pa.array([ctx] * len(ks), pa.int64()), pa.array(ks, pa.int32()), pa.array(d.view(np.int64))], names=["name", "ctx", "k", "d"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -225,14 +251,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = rows.mapInArrow(lambda b: _anchor_rows(b, length), ANCHORS)
     twice = found.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
     hits = checkpoint(found.join(twice, "name"))
-    contexts = checkpoint(hits.groupBy("name", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "s", "n")).alias("r")))
+    contexts = checkpoint(hits.groupBy("name", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "s", "n", "rel")).alias("r")))
     several = contexts.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    work = contexts.join(several, "name").select("name", "ctx", (F.col("kinds") > HOT).alias("hot"), "r.*")
-    wanted = work.groupBy("id", "th").agg(F.collect_list(F.struct("name", "ctx", "s", "n")).alias("rows"))
-    cut = checkpoint(rows.join(wanted, ["id", "th"]).select("t", "rows").mapInArrow(lambda b: _slices(b, length), "name long, ctx long, bytes binary").join(several, "name").select("name", "ctx", "bytes", (F.col("kinds") > HOT).alias("hot")))
+    work = contexts.join(several, "name").select("name", "ctx", "r.*")
+    wanted = work.groupBy("id", "th").agg(F.collect_list(F.struct("name", "ctx", "s", "n", "rel")).alias("rows"))
+    cut = checkpoint(rows.join(wanted, ["id", "th"]).select("t", "rows").mapInArrow(lambda b: _slices(b, length), "name long, ctx long, bytes binary, rel int").join(several, "name").select("name", "ctx", "bytes", "rel", (F.col("kinds") > HOT).alias("hot")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = cut.where("NOT hot").select("name", "ctx", "bytes").repartition(parts, "name").sortWithinPartitions("name", "ctx").mapInArrow(lambda b: _sorted(b, length), SPANS)
-    windows = cut.where("hot").select("name", "ctx", "bytes").dropDuplicates(["name", "ctx"]).mapInArrow(lambda b: _windows(b, length), "name long, ctx long, k int, d long")
+    hot = cut.where("hot").select("name", "ctx", "bytes", "rel").dropDuplicates(["name", "ctx"])
+    cores = hot.mapInArrow(lambda b: _cores(b, length), "name long, ctx long, j int, d long")
+    common = cores.groupBy("name", "j", "d").agg(F.count("*").alias("c")).where("c > 1").select("name", "j", "d")
+    kept = cores.join(common, ["name", "j", "d"]).groupBy("name", "ctx").agg(F.collect_set("j").alias("js"))
+    windows = hot.join(kept, ["name", "ctx"]).select("name", "ctx", "bytes", "rel", "js").mapInArrow(lambda b: _windows(b, length), "name long, ctx long, k int, d long")
     again = windows.groupBy("name", "d").agg(F.count("*").alias("c")).where("c > 1").select("name", "d")
     split = windows.join(again, ["name", "d"]).groupBy("name", "ctx").agg(F.transform(F.collect_set("k"), lambda k: F.struct(k.alias("lo"), k.alias("hi"))).alias("spans"))
     copies = contexts.where("c > 1").select("name", "ctx", F.array(F.struct(F.lit(0).alias("lo"), (F.col("r.n") - 1).alias("hi"))).alias("spans"))
