@@ -29,7 +29,7 @@ from .common import checkpoint
 
 TOKEN = re.compile(r"[^\W_]+")
 PREFIX = range(4, 9)  # Model.heads needs 4 at least
-SAMPLE, LEAST_Z, DRIFT, MOST_SCORE, PRIOR = 20_000, 3.5, -0.25, 4.0, 200.0
+SAMPLE, LEAST_Z, DRIFT, MOST_SCORE, PRIOR = 20_000, 3.5, -0.05, 4.0, 200.0
 
 
 def features(word: str):
