@@ -2,13 +2,14 @@
 
 Weights: for each feature (a word, or its first 4 to 8 letters) the log-odds of the share of toxic against other
 labelled documents that hold it, under Dirichlet priors in proportion to its share in all (Monroe et al., 2008); those
-whose z-score is weak are dropped. A token scores by its feature of greatest z, any other token scores the drift.
+that don't speak for toxic documents by their z-score are dropped. A token scores by its feature of greatest z, any other
+token scores the drift, which is below zero.
 A linear scan finds every maximal segment (Ruzzo and Tompa, 1999). Under the token scores of clean documents, the best
 segment of n tokens follows an extreme-value law, so a segment of score S has the evidence lambda * S - ln(K * n)
 (Karlin and Altschul, 1990); the evidence of the significant segments goes through a logistic fit to the score.
 
 Only labels, and only of at most `sample` labelled rows (chosen by a hash of the id), are learnt from; three in four
-give the weights, the rest the logistic fit. Null labels are left out, repeated labels count by their greatest. Null
+give the weights, the rest the logistic fit; copies of a text are learnt from once. Null labels are left out, repeated labels count by their greatest. Null
 and empty texts have no tokens and score as documents without evidence. Without toxic labels every score is 0.
 Repeated rows score alike; an empty table gives no rows; columns other than those named are not read.
 """
@@ -53,8 +54,7 @@ class Model:
     def score(self, word: str) -> float:
         s = self.memo.get(word)
         if s is None:
-            z, odds = max((self.weights.get(f, (0.0, DRIFT)) for f in features(word)), key=lambda w: abs(w[0]))
-            s = max(-MOST_SCORE, min(MOST_SCORE, odds if z > 0 else min(odds, DRIFT)))
+            s = min(MOST_SCORE, max(self.weights.get(f, (0.0, DRIFT)) for f in features(word))[1])
             if len(self.memo) > 300_000:
                 self.memo.clear()
             self.memo[word] = s
@@ -65,7 +65,8 @@ class Model:
         out, heads = np.full(len(words), DRIFT), self.heads
         at = [k for k, w in enumerate(words) if w[:4] in heads]
         if at:
-            out[at] = [self.score(words[k]) for k in at]
+            memo, score = self.memo, self.score
+            out[at] = [memo[w] if (w := words[k]) in memo else score(w) for k in at]
         return out
 
     def evidence(self, scores: np.ndarray) -> tuple[float, float, list[tuple[int, int, float]]]:
@@ -145,7 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     part = F.xxhash64(F.col("id"), F.lit(11)).bitwiseAND(F.lit((1 << 30) - 1))
     chosen = known.where(part < share).withColumn("fit", F.pmod(F.xxhash64("id", F.lit(13)), F.lit(4)) == 0)  # bounded by `sample`
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    rows = checkpoint(text.join(F.broadcast(chosen), "id").select("t", "y", "fit"))
+    # Copies of one text count once, or each of its words would seem telling.
+    rows = checkpoint(text.join(F.broadcast(chosen), "id").select("t", "y", "fit", F.xxhash64("t").alias("h")).dropDuplicates(["h", "y"]).select("t", "y", "fit"))
 
     def count(batches):
         held = (Counter(), Counter())
@@ -163,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prior = F.lit(PRIOR) * (F.col("a") + F.col("b")) / F.lit(float(n1 + n0))
     odds = F.log((F.col("a") + prior) / (F.lit(n1 + PRIOR) - F.col("a") - prior + 1e-9)) - F.log((F.col("b") + prior) / (F.lit(n0 + PRIOR) - F.col("b") - prior + 1e-9))
     z = odds / F.sqrt(1 / (F.col("a") + prior) + 1 / (F.col("b") + prior))
-    weights = {r.f: (r.z, r.o) for r in grouped.select("f", z.alias("z"), odds.alias("o")).where(F.abs("z") >= LEAST_Z).collect()}  # bounded by the sample
+    weights = {r.f: (r.z, r.o) for r in grouped.select("f", z.alias("z"), odds.alias("o")).where(F.col("z") >= LEAST_Z).collect()}  # bounded by the sample
     model = Model(weights)
 
     def tally(batches, model=model):
