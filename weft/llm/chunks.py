@@ -117,7 +117,7 @@ def _cut(text: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 120, bits: int = 3) -> DataFrame:
-    """(id, th, text, n_bytes, n_removed, n_spans, kept_sha256): what is left of each row's text."""
+    """(id_col, text, n_bytes, n_removed, n_spans, kept_sha256): what is left of each row's text."""
     found = repeats(docs, id_col, text_col, least, bits)
     joined = _keyed(docs, id_col, text_col).join(found, ["id", "th"], "left").select("id", "th", "t", "spans")
 
@@ -135,7 +135,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 sha.append(hashlib.sha256(left or b"").hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.string()), *(pa.array(x, pa.int64()) for x in (n, lost, runs)), pa.array(sha)], names=["id", "th", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(run, "id long, th int, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, "id long, th int, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string").drop("th").withColumnRenamed("id", id_col)
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", least: int = 120, bits: int = 3) -> DataFrame:

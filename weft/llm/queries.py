@@ -45,8 +45,7 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chunks.dedup(read_table(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return chunks.dedup(read_table(spark, sf_dir, "documents")).drop("text")
 
 
 def held_out(doc_id: Column) -> Column:
