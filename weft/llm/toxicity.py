@@ -150,12 +150,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = checkpoint(text.join(F.broadcast(chosen), "id").select("t", "y", "fit", F.xxhash64("t").alias("h")).dropDuplicates(["h", "y"]).select("t", "y", "fit"))
 
     def count(batches):
-        held = (Counter(), Counter())
+        held = {(y, k): Counter() for y in (0, 1) for k in (0, *PREFIX)}
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held[int(y > 0)].update({f for w in set(TOKEN.findall((t or "").lower())) for f in features(w)})
-        keys = list(held[0].keys() | held[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([held[1][k] for k in keys], pa.int64()), pa.array([held[0][k] for k in keys], pa.int64())], names=["f", "a", "b"])
+                y, found = int(y > 0), set(TOKEN.findall((t or "").lower()))
+                held[y, 0].update(found)
+                for k in PREFIX:
+                    held[y, k].update({w[:k] for w in found if len(w) > k})
+        for k in (0, *PREFIX):
+            keys = list(held[0, k].keys() | held[1, k].keys())
+            yield pa.RecordBatch.from_arrays([pa.array([f + "*" * (k > 0) for f in keys], pa.string()), pa.array([held[1, k][f] for f in keys], pa.int64()), pa.array([held[0, k][f] for f in keys], pa.int64())], names=["f", "a", "b"])
 
     learn = rows.where("NOT fit")
     n1, n0 = (learn.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)).first())[:2]
