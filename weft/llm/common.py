@@ -38,6 +38,8 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A shared table. Texts are long, so smaller Arrow batches than Spark's default bound what a worker holds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

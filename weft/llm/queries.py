@@ -52,10 +52,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def toxic_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """A model of the labels of those rows of docs that are not held out."""
+    return toxicity.train(docs, labels.where(~held_out(F.col("doc_id"))))
+
+
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Scores of docs by a model of the labels of those rows of docs that are not held out."""
-    model = toxicity.train(docs, labels.where(~held_out(F.col("doc_id"))))
-    scored = toxicity.score(docs, model)
+    scored = toxicity.score(docs, toxic_model(docs, labels))
     return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 

@@ -2,8 +2,8 @@
 
 Weights: for each feature (a word, or its first 4 to 8 letters) the log-odds of the share of toxic against other
 labelled documents that hold it, under Dirichlet priors in proportion to its share in all (Monroe et al., 2008); those
-that don't speak for toxic documents by their z-score are dropped. A token scores by its feature of greatest z, any other
-token scores the drift, which is below zero.
+that don't speak for toxic documents by z-score and log-odds are dropped (a word may just go with a language). A token
+scores by its feature of greatest z, any other token scores the drift, which makes clean text score below zero.
 A linear scan finds every maximal segment (Ruzzo and Tompa, 1999). Under the token scores of clean documents, the best
 segment of n tokens follows an extreme-value law, so a segment of score S has the evidence lambda * S - ln(K * n)
 (Karlin and Altschul, 1990); the evidence of the significant segments goes through a logistic fit to the score.
@@ -30,7 +30,7 @@ from .common import checkpoint
 
 TOKEN = re.compile(r"[^\W_]+")
 PREFIX = range(4, 9)  # Model.heads needs 4 at least
-SAMPLE, LEAST_Z, DRIFT, MOST_SCORE, PRIOR = 20_000, 3.5, -0.05, 4.0, 200.0
+SAMPLE, LEAST_Z, LEAST_ODDS, DRIFT, MOST_SCORE, PRIOR = 20_000, 3.5, 1.5, -0.05, 4.0, 200.0
 
 
 def features(word: str):
@@ -46,6 +46,7 @@ class Model:
     rate: float = 1.0  # lambda
     log_k: float = 0.0
     fit: tuple[float, float, float] = (-50.0, 0.0, 0.0)
+    drift: float = DRIFT
     memo: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -54,15 +55,21 @@ class Model:
     def score(self, word: str) -> float:
         s = self.memo.get(word)
         if s is None:
-            s = min(MOST_SCORE, max(self.weights.get(f, (0.0, DRIFT)) for f in features(word))[1])
+            s = min(MOST_SCORE, max(self.weights.get(f, (0.0, self.drift)) for f in features(word))[1])
             if len(self.memo) > 300_000:
                 self.memo.clear()
             self.memo[word] = s
         return s
 
+    def settle(self, s: np.ndarray, counts: np.ndarray) -> None:
+        """Drift, lambda and K from the scores of clean tokens: the drift takes back twice what they gain by chance."""
+        gain = float(np.maximum(s, 0) @ counts / counts.sum())
+        self.drift, self.memo = min(DRIFT, -2 * gain), {}
+        self.rate, self.log_k = karlin(np.where(s > 0, s, self.drift), counts)
+
     def scores(self, text: str | None) -> np.ndarray:
         words = TOKEN.findall(text.lower()) if text else []
-        out, heads = np.full(len(words), DRIFT), self.heads
+        out, heads = np.full(len(words), self.drift), self.heads
         at = [k for k, w in enumerate(words) if w[:4] in heads]
         if at:
             memo, score = self.memo, self.score
@@ -169,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prior = F.lit(PRIOR) * (F.col("a") + F.col("b")) / F.lit(float(n1 + n0))
     odds = F.log((F.col("a") + prior) / (F.lit(n1 + PRIOR) - F.col("a") - prior + 1e-9)) - F.log((F.col("b") + prior) / (F.lit(n0 + PRIOR) - F.col("b") - prior + 1e-9))
     z = odds / F.sqrt(1 / (F.col("a") + prior) + 1 / (F.col("b") + prior))
-    weights = {r.f: (r.z, r.o) for r in grouped.select("f", z.alias("z"), odds.alias("o")).where(F.col("z") >= LEAST_Z).collect()}  # bounded by the sample
+    weights = {r.f: (r.z, r.o) for r in grouped.select("f", z.alias("z"), odds.alias("o")).where((F.col("z") >= LEAST_Z) & (F.col("o") >= LEAST_ODDS)).collect()}  # bounded by the sample
     model = Model(weights)
 
     def tally(batches, model=model):
@@ -181,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     clean = learn.where("y <= 0").select("t").mapInArrow(tally, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()  # scores of two decimals
     s, c = np.array([r.s for r in clean] + [MOST_SCORE]), np.array([r.n for r in clean] + [0.5])
-    model.rate, model.log_k = karlin(s, c)
+    model.settle(s, c)
 
     def weigh(batches, model=model):
         for b in batches:
@@ -203,7 +210,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         for b in batches:
             p, found = [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(1):
+                t = t.as_py()
                 best, total, segs = model.evidence(model.scores(t))
                 p.append(model.probability(best, total))
                 found.append([{"start": a, "end": e, "evidence": v} for a, e, v in spans(t, segs)] if segs else [])
@@ -211,3 +219,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array(found, kind)], names=["id", "score", "passages"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, score double, passages array<struct<start int, end int, evidence double>>")
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", cut: float = 0.5) -> DataFrame:
+    """The rows, all columns, whose text scores below `cut`: one pass, no shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            keep = [model.probability(*model.evidence(model.scores(t.as_py()))[:2]) < cut for t in b.column(at)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
