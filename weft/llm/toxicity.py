@@ -30,7 +30,7 @@ from .common import checkpoint
 
 TOKEN = re.compile(r"[^\W_]+")
 PREFIX = range(4, 9)  # Model.heads needs 4 at least
-SAMPLE, LEAST_Z, LEAST_ODDS, DRIFT, MOST_SCORE, PRIOR = 20_000, 3.5, 1.5, -0.05, 4.0, 200.0
+SAMPLE, LEAST_Z, LEAST_ODDS, DRIFT, MOST_SCORE, PRIOR = 20_000, 3.5, 1.5, -0.05, 4.0, 50.0
 
 
 def features(word: str):
