@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 LENGTH, GRAM, HOT, SPAN = 200, 64, 256, 16
-BLOCK, GATHER = 1 << 21, 1 << 22
+BLOCK, GATHER = 1 << 19, 1 << 19
 VALUE = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
 _B, _MIX = 0xD1342543DE82EF95, np.uint64(0x9E3779B97F4A7C15)
 
