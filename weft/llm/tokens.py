@@ -20,7 +20,7 @@ SPACE, FEED, LETTER, DIGIT, SIGN = range(5)
 CLASS = np.full(256, SIGN, np.uint8)
 CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
 CLASS[48:58], CLASS[32], CLASS[10] = DIGIT, SPACE, FEED
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _rng = np.random.default_rng(20240229)
 VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _base = 0x9E3779B97F4A7C15 & ~7 | 5
