@@ -60,13 +60,13 @@ IDS = "ids AS (SELECT p_partkey AS q, 'c' || (p_partkey % 4)::VARCHAR AS country
 def truth(all_pairs: DataFrame) -> DataFrame:
     """True pairs by a rule on the ids, one owner a p; and some that are no candidates."""
     owned = all_pairs.where("(q * 31 + p * 17) % 5 = 0").groupBy("p").agg(F.min("q").alias("q")).select("q", "p")
-    missed = all_pairs.where("p % 97 = 0").groupBy("q").agg((F.min("p") * -1).alias("p"))
+    missed = all_pairs.where("p % 97 = 0").groupBy("q").agg((F.min("p") * -1 - 1).alias("p"))
     return owned.unionByName(missed)
 
 
 TRUTH = """gt AS (
   SELECT min(q) AS q, p FROM pairs WHERE (q * 31 + p * 17) % 5 = 0 GROUP BY p
-  UNION ALL SELECT q, -min(p) AS p FROM pairs WHERE p % 97 = 0 GROUP BY q)"""
+  UNION ALL SELECT q, -min(p) - 1 AS p FROM pairs WHERE p % 97 = 0 GROUP BY q)"""
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
