@@ -214,15 +214,17 @@ def spans_of(n: int, rel: int) -> dict[int, tuple[int, int]]:
 
 
 def _cores(batches, length: int):
-    """A digest of the bytes that all windows of a span have in common; they lie in each of its windows."""
+    """For each span: digests of the bytes that its windows have in common (they lie in each), and of all its bytes."""
     for b in batches:
         rows = []
         for name, ctx, raw, rel in zip(*(b.column(c).to_pylist() for c in range(4))):
             view = memoryview(raw)
-            for j in spans_of(len(raw) - length + 1, rel):
+            for j, (lo, hi) in spans_of(len(raw) - length + 1, rel).items():
                 first = rel - j * SPAN  # the window nearest to the anchor starts here, if it is there
-                rows.append((name, ctx, j, xxhash.xxh3_64_intdigest(view[max(0, first) : max(0, first - SPAN + 1 + length)]) - (1 << 63)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["name", "ctx", "j", "d"])
+                core, whole = view[max(0, first) : max(0, first - SPAN + 1 + length)], view[lo : hi + length]
+                rows.append((name, ctx, j, lo, hi, xxhash.xxh3_64_intdigest(core) - (1 << 63), xxhash.xxh3_64_intdigest(whole, lo - rel + (1 << 32)) - (1 << 63)))
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["name", "ctx", "j", "lo", "hi", "d", "w"])
 
 
 def _windows(batches, length: int):
@@ -259,14 +261,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = cut.where("NOT hot").select("name", "ctx", "bytes").repartition(parts, "name").sortWithinPartitions("name", "ctx").mapInArrow(lambda b: _sorted(b, length), SPANS)
     hot = cut.where("hot").select("name", "ctx", "bytes", "rel").dropDuplicates(["name", "ctx"])
-    cores = hot.mapInArrow(lambda b: _cores(b, length), "name long, ctx long, j int, d long")
-    common = cores.groupBy("name", "j", "d").agg(F.count("*").alias("c")).where("c > 1").select("name", "j", "d")
-    kept = cores.join(common, ["name", "j", "d"]).groupBy("name", "ctx").agg(F.collect_set("j").alias("js"))
+    cores = checkpoint(hot.mapInArrow(lambda b: _cores(b, length), "name long, ctx long, j int, lo int, hi int, d long, w long"))
+    kinds = cores.groupBy("name", "j", "w").agg(F.count("*").alias("c"), F.min("ctx").alias("ctx"), F.min("d").alias("d"))
+    # Spans that are equal as a whole are settled at once; one of each kind is compared with the other kinds of its core.
+    whole = cores.join(kinds.where("c > 1").select("name", "j", "w"), ["name", "j", "w"]).groupBy("name", "ctx").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    common = kinds.groupBy("name", "j", "d").agg(F.count("*").alias("n")).where("n > 1").select("name", "j", "d")
+    kept = kinds.join(common, ["name", "j", "d"]).groupBy("name", "ctx").agg(F.collect_set("j").alias("js"))
     windows = hot.join(kept, ["name", "ctx"]).select("name", "ctx", "bytes", "rel", "js").mapInArrow(lambda b: _windows(b, length), "name long, ctx long, k int, d long")
     again = windows.groupBy("name", "d").agg(F.count("*").alias("c")).where("c > 1").select("name", "d")
     split = windows.join(again, ["name", "d"]).groupBy("name", "ctx").agg(F.transform(F.collect_set("k"), lambda k: F.struct(k.alias("lo"), k.alias("hi"))).alias("spans"))
     copies = contexts.where("c > 1").select("name", "ctx", F.array(F.struct(F.lit(0).alias("lo"), (F.col("r.n") - 1).alias("hi"))).alias("spans"))
-    others = sorted_.unionByName(split).join(contexts.where("c = 1").select("name", "ctx"), ["name", "ctx"])
+    others = sorted_.unionByName(split).unionByName(whole).join(contexts.where("c = 1").select("name", "ctx"), ["name", "ctx"])
     spans = checkpoint(copies.unionByName(others))
     covered = hits.join(spans, ["name", "ctx"]).select("id", "th", F.transform("spans", lambda x: F.struct((F.col("s") + x["lo"]).alias("a"), (F.col("s") + x["hi"] + length).alias("b"))).alias("spans"))
     gone = covered.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
