@@ -197,6 +197,30 @@ def test_simhash(spark, docs, texts):
     assert simhash.simhash(empty(spark)).count() == 0
 
 
+def test_near_copies(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = [None, "", "one two", "one two", " ".join(["again"] * 50)]
+    for n in (6, 30, 60, 150, 150, 400):
+        w = sentence(rng, n).split()
+        texts.append(" ".join(w))
+        for edits in range(1, 9):
+            v = list(w)
+            for k in rng.integers(0, n, max(1, n * edits // 200)):
+                v[k] = sentence(rng, 1) + "x"
+            texts.append(" ".join(v))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = roots(len(sets), near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for chunk in (simhash.CHUNK, 4):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        got = by_id(simhash.near_copies(docs))
+        assert [got[k].component_id for k in range(len(texts))] == root
+    alone = by_id(simhash.simhash(docs, width=5, radius=8))
+    assert [alone[k].component_id for k in range(len(texts))] != root
+    assert simhash.near_copies(docs.where("doc_id < 0")).count() == 0
+
+
 def test_decontamination(spark, docs, texts):
     words = [decontam.words((t or "").encode()) for t in texts]
     items = [(0, texts[8]), (1, "one"), (2, None), (3, ""), (4, " ".join(w.decode() for w in words[43][100:130])), (5, "zz " + texts[10]), (5, texts[12])]

@@ -7,10 +7,14 @@ each comparison returns a spanning forest of its links rather than all pairs, wh
 
 Null and empty texts have fingerprint zero and link like any other; repeated rows share a fingerprint; an empty table
 gives no rows; columns other than the id and the text are not read.
+
+near_copies() links by the exact Jaccard similarity of the sets of shingles instead; fingerprints only thin its candidates.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,24 +24,30 @@ from pyspark.sql import functions as F
 from .common import checkpoint, components, local_roots
 
 CHUNK = 4096
+#: From the hash of a shingle to another one.
+MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """64-bit fingerprint: majority over the XXH64 (seed 42) of all word shingles, repeats included."""
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of width words; a shorter text is one run, an empty one has none."""
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if n <= width:
-        return digest(joined, 42)
+        return np.array([digest(joined, 42)], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     view = memoryview(joined)
-    hashes = np.array([digest(view[a:b], 42) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist())], dtype=np.uint64)
-    return majority(hashes)
+    return np.array([digest(view[a:b], 42) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist())], dtype=np.uint64)
+
+
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """64-bit fingerprint: majority over the XXH64 (seed 42) of all word shingles, repeats included."""
+    return majority(shingles(text, width))
 
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
@@ -119,3 +129,104 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     firsts = linked.groupBy("c").agg(F.min("least").alias("component_id"))
     named = linked.join(firsts, "c").select("fp", "component_id")
     return fp.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def prefix_size(n: int, least: float) -> int:
+    """Of two sets with a Jaccard similarity of `least` or more, so many of the smallest hashes of each share one."""
+    return n - math.ceil(least * n - 1e-9) + 1 if n else 0
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
+    """(id, key, n, fp, fq, prefix): key stands for the set of shingles, fp and fq are its fingerprint of 128 bits."""
+
+    def run(batches):
+        for b in batches:
+            key, n, fp, fq, prefix = [], [], [], [], []
+            for t in b.column(1).cast(pa.binary()):
+                s = np.unique(shingles(t.as_py() or b"", width))
+                key.append(xxhash.xxh3_64_intdigest(s.tobytes()))
+                n.append(len(s))
+                fp.append(majority(s))
+                fq.append(majority((s ^ (s >> np.uint64(29))) * MIX))
+                prefix.append(s[: prefix_size(len(s), least)].view(np.int64))
+            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            ends = np.cumsum([0] + [len(p) for p in prefix]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), longs(key), pa.array(n, pa.int32()), longs(fp), longs(fq), pa.ListArray.from_arrays(ends, np.concatenate([*prefix, np.empty(0, np.int64)]))], names=["id", "key", "n", "fp", "fq", "prefix"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, key long, n int, fp long, fq long, prefix array<long>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
+    """Those of pairs (a, b) of keys whose sets of shingles have a Jaccard similarity of `least` or more."""
+    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(ids, "key").select("id").distinct()
+
+    def sets(batches):
+        for b in batches:
+            rows = [np.unique(shingles(t.as_py() or b"", width)).tobytes() for t in b.column(0).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh3_64_intdigest(r) for r in rows], np.uint64).view(np.int64)), pa.array(rows, pa.binary())], names=["key", "s"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(wanted, "id", "left_semi").select("t")
+    found = checkpoint(texts.mapInArrow(sets, "key long, s binary").dropDuplicates(["key"]))
+    both = pairs.join(found.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
+
+    def run(batches):
+        for p in batches:
+            keep = []
+            for x, y in zip(p.column(2), p.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= least * (len(x) + len(y) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return checkpoint(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, radius: int = 40) -> DataFrame:
+    """(id_col, component_id): texts are linked where their sets of word shingles have a Jaccard similarity of `least`.
+
+    Candidates share one of the smallest hashes (prefix_size: this loses nothing), differ little enough in size, and
+    have fingerprints within radius of 128 bits; their sets are then compared. First each text meets one text of each hash
+    it has, so that large groups of copies are linked by few comparisons; then those that are not yet connected meet.
+    """
+    base = checkpoint(_sets(docs, id_col, text_col, width, least))
+    ids = base.groupBy("key").agg(F.min("id").alias("id"))
+    nodes = base.select("key", "n", "fp", "fq").dropDuplicates(["key"])
+    tokens = base.select("key", "prefix").dropDuplicates(["key"]).select("key", F.explode("prefix").alias("token"))
+    firsts = tokens.groupBy("token").agg(F.count("*").alias("many"), F.min("key").alias("first")).where("many > 1")
+    shared = checkpoint(tokens.join(firsts, "token"))
+    check = lambda pairs: verified(pairs, docs, ids, id_col, text_col, width, least)
+    end = lambda s: nodes.select(*[F.col(c).alias(f"{c}{s}") for c in nodes.columns])
+    stars = shared.where(F.col("key") != F.col("first")).select(F.col("first").alias("key1"), F.col("key").alias("key2")).distinct().join(end(1), "key1").join(end(2), "key2")
+    bits = F.bit_count(F.col("fp1").bitwiseXOR(F.col("fp2"))) + F.bit_count(F.col("fq1").bitwiseXOR(F.col("fq2")))
+    stars = checkpoint(stars.where((F.least("n1", "n2") >= least * F.greatest("n1", "n2") - 1e-9) & (bits <= radius)).select(F.col("key1").alias("a"), F.col("key2").alias("b")))
+    links = check(stars)
+    comp = components(links).withColumnRenamed("node", "key")
+    named = shared.join(nodes.join(comp, "key", "left"), "key").withColumn("c", F.coalesce("component", "key")).withColumn("salt", F.pmod(F.xxhash64("key"), F.ceil(F.col("many") / CHUNK)).cast("int"))
+    groups = named.groupBy("token", "salt").agg(F.collect_list("key").alias("key"), F.collect_list("n").alias("n"), F.collect_list("fp").alias("fp"), F.collect_list("fq").alias("fq"), F.collect_list("c").alias("c"), F.max("many").alias("many"))
+    side = lambda s: [F.col(c).alias(f"{c}{s}") for c in ("salt", "key", "n", "fp", "fq", "c")]
+    large = groups.where(F.col("many") > CHUNK)
+    blocks = groups.select("token", *side(1), *side(2)).unionByName(large.select("token", *side(1)).join(large.select("token", *side(2)), "token").where("salt1 < salt2")).drop("token", "salt1", "salt2")
+
+    def run(batches):
+        for p in batches:
+            found = []
+            for k in range(p.num_rows):
+                key, n, fp, fq, c, key2, n2, fp2, fq2, c2 = (p.column(i)[k].values.to_numpy(zero_copy_only=False) for i in range(10))
+                step = max(1, (1 << 19) // max(1, len(key2)))
+                for at in range(0, len(key), step):
+                    part = slice(at, at + step)
+                    near = (key[part, None] < key2) | (key[0] != key2[0])
+                    near &= c[part, None] != c2
+                    near &= np.minimum(n[part, None], n2) >= least * np.maximum(n[part, None], n2) - 1e-9
+                    near &= np.bitwise_count((fp[part, None] ^ fp2).view(np.uint64)) + np.bitwise_count((fq[part, None] ^ fq2).view(np.uint64)) <= radius
+                    i, j = np.nonzero(near)
+                    a, b = key[part][i], key2[j]
+                    found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
+            pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    rest = checkpoint(blocks.mapInArrow(run, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"))
+    comp = components(links.unionByName(check(rest)))
+    linked = ids.join(comp, ids.key == comp.node, "left").select("key", "id", F.coalesce("component", "key").alias("c"))
+    least_id = linked.groupBy("c").agg(F.min("id").alias("component_id"))
+    return base.select("id", "key").join(linked.select("key", "c").join(least_id, "c"), "key").select(F.col("id").alias(id_col), "component_id")
