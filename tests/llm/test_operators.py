@@ -124,6 +124,25 @@ def test_licenses(spark, docs):
     assert licenses.license_spans(empty(spark)).count() == 0
 
 
+def test_licenses_edited_short_notices():
+    index = licenses.Index(licenses.TEMPLATES)
+    found = licenses.scan("It is Released under an MIT License now", index, 0.8)
+    assert found == [("mit-line", 0.8, 4, 6, 35)]
+    for name, t in licenses.TEMPLATES.items():
+        words = licenses.WORD.findall(t.lower())
+        if len(words) < 16:
+            for step in range(len(words)):
+                edits = [(step + 5 * k) % len(words) for k in range(len(words) // 5)]
+                text = " ".join("zz" if k in edits else w for k, w in enumerate(words))
+                got = [f for f in licenses.scan(f"a b {text} c d", index, 0.8) if f[0] == name]
+                assert [f[2] for f in got] == [len(words) - len(set(edits))], (name, edits)
+    long = licenses.WORD.findall(licenses.TEMPLATES["isc"].lower())
+    text = " ".join("zz" if k % 5 == 4 else w for k, w in enumerate(long))
+    assert [f[0] for f in licenses.scan(text, index, 0.8)] == ["isc"]
+    both = "released under an mit license released under the mit license released under an mit license"
+    assert [f[2] for f in licenses.scan(both, index, 0.8)] == [4, 5, 4]
+
+
 def brute_repeats(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(t[k : k + length] for t in raw for k in range(len(t) - length + 1))

@@ -2,7 +2,8 @@
 
 Templates are cut into runs of K words; the smallest hash of each WINDOW runs goes to the index (winnowing: Schleimer
 et al., 2003). A document looks up all of its runs, so any stretch of K + WINDOW - 1 words in common is found; hits close
-to one another name a candidate, and a banded alignment of the template with the words there counts the matches.
+to one another name a candidate, and a banded alignment of the template with the words there counts the matches. Edits can
+leave no such stretch, so windows that hold enough words of a template are candidates too: no report is lost to the index.
 Reported: each stretch that covers at least `coverage` of a template, with its span in characters.
 
 Null and empty texts give no rows; templates shorter than K words are one run; repeated rows give repeated reports, and
@@ -47,7 +48,9 @@ class Index:
         self.ids = [np.array([self.vocabulary[w] for w in ws], np.int64) for ws in self.words]
         self.grams: dict[int, list[tuple[int, int]]] = {}
         self.base = len(self.vocabulary) + 1
+        self.member = np.zeros((len(self.ids), len(self.vocabulary) + 1), bool)  # the last column is the word -1
         for t, ids in enumerate(self.ids):
+            self.member[t, ids] = True
             runs = self.runs(ids)
             order = [xxhash.xxh64_intdigest(int(r).to_bytes(16, "little")) for r in runs]
             chosen = {min(range(a, min(a + WINDOW, len(runs))), key=lambda k: (order[k], -k)) for a in range(max(1, len(runs) - WINDOW + 1))} if runs else set()
@@ -71,6 +74,25 @@ class Index:
         return out
 
 
+    def windows(self, doc: np.ndarray, coverage: float) -> dict[int, np.ndarray]:
+        """template -> starts of the windows of its length and two bands in which enough words are of the template."""
+        out = {}
+        for t, ids in enumerate(self.ids):
+            need, size = coverage * len(ids), len(ids) + 2 * band_of(len(ids))
+            if not need or len(doc) < need:
+                continue
+            total = np.concatenate([[0], np.cumsum(self.member[t][doc])])
+            low = np.arange(-size + 1, len(doc))
+            starts = low[total[np.minimum(low + size, len(doc))] - total[np.maximum(low, 0)] >= need]
+            if len(starts):
+                out[t] = starts
+        return out
+
+
+def band_of(m: int) -> int:
+    return max(2, m // 8)
+
+
 def align(template: np.ndarray, doc: np.ndarray, band: int) -> tuple[int, int, int]:
     """Most equal words of the template and doc in order, |place difference| <= band: (matches, first, end in doc)."""
     m, n = len(template), len(doc)
@@ -93,23 +115,56 @@ def align(template: np.ndarray, doc: np.ndarray, band: int) -> tuple[int, int, i
     return s, -f, e
 
 
+def _between(ids: np.ndarray, doc: np.ndarray, starts: np.ndarray, coverage: float, taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(matched, first, end) of stretches in the windows at starts, outside of the stretches already taken."""
+    m, band = len(ids), band_of(len(ids))
+    size, need, out = m + 2 * band, coverage * m, []
+    times = np.bincount(ids)
+    edges = [(0, 0), *sorted(taken), (len(doc), len(doc))]
+    for (_, left), (right, _) in zip(edges, edges[1:]):
+        if right - left < need:
+            continue
+        done, best, until = left, None, 0
+        for w in starts[(starts + size > left) & (starts < right)].tolist():
+            if best and w >= until:
+                out.append(best)
+                done, best = best[2], None
+            low, high = max(w, done), min(w + size, right)
+            if high - low < need:
+                continue
+            part = doc[low:high]
+            if np.minimum(np.bincount(part[part >= 0], minlength=len(times))[: len(times)], times).sum() < (best[0] + 1 if best else need):
+                continue
+            matched, first, end = align(ids, part, 2 * band)
+            if matched >= need and (not best or matched > best[0]):
+                until = until if best else low + size
+                best = (matched, low + first, low + end)
+        if best:
+            out.append(best)
+    return out
+
+
 def scan(text: str, index: Index, coverage: float) -> list[tuple[str, float, int, int, int]]:
     """(template, coverage, matched words, start, end) in order of place."""
     get = index.vocabulary.get
     doc = np.fromiter((get(w, -1) for w in WORD.findall(text.lower())), np.int64)
-    out, places = [], None
+    found, taken = [], {}
     for t, hits in sorted(index.hits(doc).items()):
         ids, done = index.ids[t], -1
-        m, band = len(ids), max(2, len(ids) // 8)
+        m, band = len(ids), band_of(len(ids))
         for at, k in sorted(hits):
             if at < done:
                 continue
             low = max(0, at - k - band, done)
             matched, first, end = align(ids, doc[low : at - k + m + band], 2 * band)
             if matched >= coverage * m and matched:
-                places = places or [p.span() for p in WORD.finditer(text.lower())]
-                out.append((index.names[t], matched / m, matched, places[low + first][0], places[low + end - 1][1]))
+                found.append((t, matched, low + first, low + end))
+                taken.setdefault(t, []).append((low + first, low + end))
                 done = low + end
+    for t, starts in index.windows(doc, coverage).items():
+        found += [(t, *r) for r in _between(index.ids[t], doc, starts, coverage, taken.get(t, []))]
+    places = [p.span() for p in WORD.finditer(text.lower())] if found else []
+    out = [(index.names[t], matched / len(index.ids[t]), matched, places[a][0], places[b - 1][1]) for t, matched, a, b in found]
     return sorted(out, key=lambda r: (r[3], r[0]))
 
 
