@@ -7,7 +7,9 @@ and the rounded-down pattern counts, with a first-fit of the few lengths that ro
 piece gets its rank within its length class, without a global sort, and the rank picks the sequence.
 
 Null and empty texts are one end id. Repeated rows are packed each for itself; an empty table gives no rows; columns
-other than the id and the text are not read. Ties in rank go by id, then start.
+other than the id and the text are not read, whatever their names. Very long texts are encoded whole and give one piece
+for each `length` ids. Ranks are ordered by every column of a piece, so ties are equal pieces, and a task that runs again
+seats its pieces as before.
 """
 
 from __future__ import annotations
@@ -66,6 +68,20 @@ def knapsack(size: np.ndarray, value: np.ndarray, room: int) -> tuple[float, np.
     return float(best[room]), out
 
 
+def inverse_of(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row pivots. The threaded LAPACK routine can wait for ever in a driver that has forked."""
+    m = len(a)
+    work = np.concatenate([a, np.eye(m)], axis=1)
+    for k in range(m):
+        p = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, p]] = work[[p, k]]
+        work[k] /= work[k, k]
+        factor = work[:, k].copy()
+        factor[k] = 0.0
+        work -= np.outer(factor, work[k])
+    return work[:, m:]
+
+
 def cutting_stock(size: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-3, most: int = 4000) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often to cut each, meeting demand; the linear program is solved to within `gap` of its bound.
 
@@ -106,7 +122,7 @@ def cutting_stock(size: np.ndarray, demand: np.ndarray, room: int, gap: float =
         inverse -= np.outer(u, row)
         inverse[r] = row
         if step % 500 == 499:
-            inverse = np.linalg.inv(basis)
+            inverse = inverse_of(basis)
             x = np.maximum(inverse @ demand, 0.0)
     out, left = [], exact.astype(np.int64)
     for k in np.argsort(-x):
@@ -149,9 +165,9 @@ def pack(parts: DataFrame, length: int = 2048, grid: int = 128) -> DataFrame:
     spark = parts.sparkSession
     places = spark.createDataFrame(slots, "cls int, low long, high long, base long, times long")
     before = counts.select("cls", "part", (F.sum("n").over(Window.partitionBy("cls").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = held.withColumn("rn", F.row_number().over(Window.partitionBy("cls", "part").orderBy("doc_id", "start")))
+    ranked = held.withColumn("rn", F.row_number().over(Window.partitionBy("cls", "part").orderBy("doc_id", "start", "length", "ids_crc32", "doc_tokens")))
     ranked = ranked.join(before, ["cls", "part"]).withColumn("rank", F.col("before") + F.col("rn") - 1)
     seated = ranked.join(F.broadcast(places), (ranked.cls == places.cls) & (ranked["rank"] >= places.low) & (ranked["rank"] < places.high))
     seated = seated.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.floor((F.col("rank") - F.col("low")) / F.col("times"))).cast("long").alias("sequence_id"))
-    w = Window.partitionBy("sequence_id").orderBy("doc_id", "start", "ids_crc32")
+    w = Window.partitionBy("sequence_id").orderBy("doc_id", "start", "length", "ids_crc32", "doc_tokens")
     return seated.withColumn("offset", F.sum("length").over(w) - F.col("length"))

@@ -3,8 +3,9 @@
 Both vocabularies used here cut a text into pre-tokens (runs of letters, digits, signs; a leading space or not) before
 they merge anything, so the ids of a text are the ids of its pre-tokens, joined. Texts of ASCII and Latin-1 letters,
 digits, signs, single spaces and single line feeds are cut here, whole blocks at a time, and each distinct pre-token
-goes to the library's model once a worker; any other text is handed whole to the library. The memo (a sorted array of
-64-bit pre-token hashes) is emptied when it is full, so memory is bounded.
+goes to the library's model once a worker; any other text is handed whole to the library. The memo is a sorted array of
+64-bit pre-token hashes beside the pre-tokens' bytes. Hashes only find an entry: bytes are compared on every hit, and a
+block in which two pre-tokens share a hash goes whole to the library. The memo is emptied beyond `most` bytes.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(a, dtype=np.uint64)
 
 
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each run, one after another."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 def _byte_letters() -> dict[int, int]:
     """Byte-level vocabularies write each byte as a visible character: itself, or from 256 on in order."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -45,7 +51,7 @@ class Encoder:
 
     held: dict = {}
 
-    def __init__(self, path: str, words: bool, most: int = 2_000_000):
+    def __init__(self, path: str, words: bool, most: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,6 +63,10 @@ class Encoder:
     def _clear(self) -> None:
         self.keys, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
+        self.raw, self.raw_at, self.raw_size = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _held(self) -> int:
+        return 40 * len(self.keys) + 4 * len(self.flat) + len(self.raw)
 
     @classmethod
     def of(cls, path: str, words: bool) -> "Encoder":
@@ -71,11 +81,19 @@ class Encoder:
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         at = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum()))])
+        width = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        raw_at = len(self.raw) + np.cumsum(width) - width
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(pieces), np.uint8)])
         where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.size, where, size)
+        for name, new in (("keys", keys), ("at", at), ("size", size), ("raw_at", raw_at), ("raw_size", width)):
+            setattr(self, name, np.insert(getattr(self, name), where, new))
+
+    def _same(self, a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> bool:
+        """Whether each run of a equals its run of b."""
+        return bool((a_size == b_size).all()) and bool((a[_places(a_at, a_size)] == b[_places(b_at, a_size)]).all())
 
-    def _block(self, texts: list[bytes]) -> list[np.ndarray]:
-        """texts: plain, at most BLOCK bytes together."""
+    def _block(self, texts: list[bytes]) -> list[np.ndarray] | None:
+        """texts: plain, at most BLOCK bytes together. None where two pre-tokens share a hash."""
         data = np.frombuffer(b"".join(texts), np.uint8)
         n = len(data)
         bounds = np.cumsum([len(t) for t in texts])
@@ -99,7 +117,10 @@ class Encoder:
         np.cumsum(VALUE[data] * self.up[:n], out=total[1:])
         key = (total[end] - total[start]) * self.down[start]
         known, example, which = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.keys) > self.most:
+        width = end - start
+        if not self._same(data, start, width, data, start[example][which], width[example][which]):
+            return None
+        if self._held() > self.most:
             self._clear()
         pos = np.searchsorted(self.keys, known)
         new = np.ones(len(known), bool)
@@ -108,6 +129,8 @@ class Encoder:
             raw, s, e = data.tobytes(), start[example[new]].tolist(), end[example[new]].tolist()
             self._learn(known[new], [raw[a:b] for a, b in zip(s, e)])
             pos = np.searchsorted(self.keys, known)
+        if not self._same(data, start[example], width[example], self.raw, self.raw_at[pos], self.raw_size[pos]):
+            return None
         at, size = self.at[pos][which], self.size[pos][which]
         out_end = np.cumsum(size)
         ids = self.flat[np.repeat(at - (out_end - size), size) + np.arange(out_end[-1] if len(out_end) else 0)]
@@ -146,5 +169,8 @@ class Encoder:
 
     def _flush(self, block: list, out: list) -> None:
         if block:
-            for (k, _), ids in zip(block, self._block([p for _, p in block])):
+            found = self._block([p for _, p in block])
+            if found is None:  # texts were cut before a space, where the library cuts too
+                found = [np.array(self.tok.encode(p.decode(), add_special_tokens=False).ids, np.uint32) for _, p in block]
+            for (k, _), ids in zip(block, found):
                 out[k] = np.concatenate([out[k], ids]) if len(out[k]) else ids
