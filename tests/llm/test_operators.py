@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on a small fixture with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -8,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -85,6 +87,25 @@ def test_ids_are_the_librarys(texts, name, words, end):
         assert [g.tolist() for g in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in [*texts, *more]]
 
 
+@pytest.mark.parametrize("name,words", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_ids_of_words_that_share_a_hash(name, words):
+    from weft.llm.tokens import Encoder
+
+    one = "a"
+    while len(one) < 1024:  # a Thue-Morse word and its complement have one polynomial hash modulo 2**64, for any base
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    enc, tok = Encoder(public_tokenizers.path(name), words), Tokenizer.from_file(public_tokenizers.path(name))
+    for texts in ([one], [other + " b"], [one + " " + other, "plain"], [other, one]):
+        assert [g.tolist() for g in enc.ids(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_inverse():
+    a = np.random.default_rng(0).normal(size=(40, 40))
+    a[0, 0] = 0.0
+    assert np.allclose(packing.inverse_of(a) @ a, np.eye(40))
+
+
 def test_packing(spark, docs, texts):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = [tok.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
@@ -262,18 +283,63 @@ def test_decontamination(spark, docs, texts):
     assert decontam.decontaminate(empty(spark), bench).count() == 0
 
 
-def test_token_files(spark, docs, texts):
+@pytest.mark.parametrize("block", [1 << 18, 100])
+def test_token_files(spark, docs, texts, block):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    rows = sorted(binary.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).collect())
-    at = 0
-    for k, (t, r) in enumerate(zip(texts, rows)):
-        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
-        assert tuple(r) == (k, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        at += len(ids)
-    assert len(rows) == len(texts)
+    twice = docs.unionByName(docs.where("doc_id IN (8, 43)")).unionByName(docs.where("doc_id = 9").withColumn("text", F.lit("another")))
+    rows = sorted(binary.round_trip(twice, public_tokenizers.path("byte_bpe_50k.json"), block_ids=block).collect(), key=lambda r: (r.doc_id, r.start))
+    want = sorted([(k, t) for k, t in enumerate(texts)] + [(8, texts[8]), (43, texts[43]), (9, "another")], key=lambda x: x[0])
+    assert [r.doc_id for r in rows] == [k for k, _ in want]
+    at, ids_of = 0, {}
+    for k, t in want:
+        ids_of.setdefault(k, []).append(tok.encode(t or "", add_special_tokens=False).ids + [0])
+    for r in rows:
+        assert r.start == at
+        at += r.n_tokens
+        crc = [zlib.crc32(np.array(i, "<u4").tobytes()) for i in ids_of[r.doc_id] if len(i) == r.n_tokens]
+        assert r.ids_crc32 in crc
+        ids_of[r.doc_id].pop(next(k for k, i in enumerate(ids_of[r.doc_id]) if zlib.crc32(np.array(i, "<u4").tobytes()) == r.ids_crc32))
+    assert not any(ids_of.values())
     assert binary.round_trip(empty(spark), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_large_vocabulary(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = {f"w{k}": k for k in range(70_000)}
+    big = Tokenizer(models.WordLevel(words, unk_token="w0"))
+    big.pre_tokenizer = pre_tokenizers.Whitespace()
+    big.save(f"{tmp_path}/big.json")
+    assert (binary.width_of(f"{tmp_path}/big.json"), binary.width_of(public_tokenizers.path("byte_bpe_50k.json"))) == ("<u4", "<u2")
+    docs = spark.createDataFrame([(1, "w5 w69999 w65536 w0"), (2, "w65541")], "doc_id long, text string")
+    path = binary.table_path(spark, "big")
+
+    class Plain:
+        def ids(self, texts):
+            return [np.array([int(w[1:]) for w in (t or "").split()], np.uint32) for t in texts]
+
+    def tokens(batches, **args):
+        import weft.llm.binary as own
+
+        own.Encoder.of = classmethod(lambda cls, path, words: Plain())
+        yield from TOKENS(batches, **args)
+
+    TOKENS, binary._tokens = binary._tokens, tokens
+    try:
+        binary.write_ids(docs, path, f"{tmp_path}/big.json", 3)
+    finally:
+        binary._tokens = TOKENS
+    rows = sorted(binary.read_ids(spark, path).collect())
+    want = [[5, 69999, 65536, 0, 3], [65541, 3]]
+    assert [r.ids_crc32 for r in rows] == [zlib.crc32(np.array(i, "<u4").tobytes()) for i in want] and [r.start for r in rows] == [0, 5]
+
+
+def test_crc_of_pieces():
+    a, b, c = b"first piece", b"the second", b"x" * 1000
+    moved = binary.crc_after(zlib.crc32(a), len(b + c)) ^ binary.crc_after(zlib.crc32(b), len(c)) ^ zlib.crc32(c)
+    assert moved == zlib.crc32(a + b + c)
+
+
 @pytest.mark.parametrize("n,kinds", [(1, 1), (5, 1), (3000, 2), (70_000, 3000)])
 def test_huffman_round_trip(n, kinds):
     ids = (np.random.default_rng(n).zipf(1.3, n) % kinds).astype(np.int64)
@@ -307,35 +373,75 @@ def test_extract(spark):
     assert extract.main_text(pages.where("page_id < 0")).count() == 0
 
 
+def repeated_words(k, raw, least, most):
+    """Spans of text k, in whole words, that equal an earlier place and are long enough: every shift against every text."""
+    text = np.frombuffer(raw[k], np.uint8)
+    spots = [m.span() for m in re.finditer(rb"\S+", raw[k])]
+    out = np.zeros(len(text) + 2, np.int8)
+    for j in range(k + 1):
+        other = np.frombuffer(raw[j], np.uint8)
+        for shift in range(-len(text) + 1, 0 if j == k else len(other)):
+            low, high = max(0, -shift), min(len(text), len(other) - shift)
+            if high - low < 2 * least - 1:
+                continue
+            same = np.concatenate([[0], (text[low:high] == other[low + shift : high + shift]).astype(np.int8), [0]])
+            edge = np.flatnonzero(np.diff(same)) + low
+            for x, z in zip(edge[0::2].tolist(), edge[1::2].tolist()):
+                own = [w for w in spots if x <= w[0] and w[1] <= z]
+                if own and (len(own) >= least or own[-1][1] - own[0][0] >= most):
+                    out[own[0][0] + 1 : own[-1][1] + 1] = 1
+    edge = np.flatnonzero(np.diff(out))
+    return list(zip(edge[0::2].tolist(), edge[1::2].tolist()))
+
+
 def test_chunks(spark, docs, texts):
     raw = [(t or "").encode() for t in texts]
-    ends = chunks.cuts(raw)
+    ends, _ = chunks.cuts(raw)
     assert all((np.diff(e, prepend=0) > 0).all() and (e[-1:] == len(t)).all() for e, t in zip(ends, raw))
-    assert [e.tolist() for e in ends] == [chunks.cuts([t])[0].tolist() for t in raw]
-    seen, want = set(), []
-    for t, e in zip(raw, ends):
-        spans, last = [], 0
-        for x in e.tolist():
-            if t[last:x] in seen:
-                spans.append({"at": last, "size": x - last})
-            seen.add(t[last:x])
-            last = x
-        want.append(chunks.removed(spans, 120))
+    assert [e.tolist() for e in ends] == [chunks.cuts([t])[0][0].tolist() for t in raw]
+    long = {42, 43, 45}  # periodic, too long, or without spaces, for the plain version
+    some = [t if j not in long else b"" for j, t in enumerate(raw)]
+    want = {k: repeated_words(k, some, 50, 600) for k in range(len(raw)) if k in {30, 36, 39, 40, 41}}
     got = by_id(chunks.dedup(docs))
-    for k, gone in enumerate(want):
+    for k, gone in want.items():
         kept = chunks._cut(raw[k], gone)
-        assert (got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (sum(b - a for a, b in gone), len(gone), hashlib.sha256(kept).hexdigest())
-    assert got[0].text is None and sum(map(bool, want)) >= 4
+        assert (k, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (k, sum(b - a for a, b in gone), len(gone), hashlib.sha256(kept).hexdigest())
+    assert got[0].text is None and sum(map(bool, want.values())) >= 3
+    assert got[45].n_removed == len(raw[45]) - 24  # one period of eight characters stays
+    assert len(raw[42]) - 23 >= got[42].n_removed >= 275  # a chunk of two periods stays, and the last space
     left = by_id(chunks.apply(docs, chars_col="n"))
-    assert all(left[k].text == got[k].text and left[k].lang == "en" for k in range(len(raw)))
+    assert all(left[k].text == got[k].text and left[k].lang == "en" and (k == 0 or left[k].n == len(got[k].text)) for k in range(len(raw)))
     assert chunks.apply(docs).columns == docs.columns and chunks.dedup(empty(spark)).count() == 0
 
 
+def test_chunks_find_passages_of_any_length(spark):
+    rng = np.random.default_rng(11)
+    n, sizes = 120, [51, 52, 55, 60, 70, 49, 40, 30]
+    passages = [sentence(rng, sizes[k % 8]) for k in range(n)]
+    rows = [(k, sentence(rng, int(rng.integers(20, 60))) + ". " + p + " " + sentence(rng, 40)) for k, p in enumerate(passages)]
+    rows += [(1000 + k, sentence(rng, int(rng.integers(20, 60))) + " " + p + "\n" + sentence(rng, 40)) for k, p in enumerate(passages)]
+    got = by_id(chunks.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    for k, p in enumerate(passages):
+        assert got[k].n_removed == 0 and got[1000 + k].n_removed == (len(p) if sizes[k % 8] >= 50 else 0)
+
+
+def test_chunks_clashing_names(spark):
+    rows = [(1, "a " * 400, 3, 4, 5, 6), (1, "a " * 400, 3, 4, 5, 6), (None, None, 1, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "id long, t string, th long, z long, n long, _th long")
+    got = sorted(chunks.apply(df, "id", "t", "n").collect(), key=lambda r: r.id or 0)
+    assert [len(r) for r in got] == [6] * 3 and got[0].t is None and got[1] == got[2] and got[1].th == 3 and got[1].n == len(got[1].t) < 800
+
+
 def test_chunks_resist_insertion():
     rng = np.random.default_rng(8)
-    text = sentence(rng, 3000).encode()
-    parts = [set(t[a:b] for a, b in zip(np.concatenate([[0], e[:-1]]).tolist(), e.tolist())) for t, e in ((t, chunks.cuts([t])[0]) for t in (text, b"new words " + text[:5000] + b"inserted here " + text[5000:]))]
-    assert len(parts[0] & parts[1]) > 0.95 * len(parts[0])
+    spaced = sentence(rng, 3000).encode()
+    unspaced = "".join(map(chr, rng.integers(0x4E00, 0x9000, 20_000))).encode()
+    solid = "".join(map(chr, rng.integers(97, 123, 20_000))).encode()
+    for text in (spaced, unspaced, solid):
+        cut = [chunks.cuts([t])[0][0] for t in (text, text[3000:3003] + text[:6000] + text[:9] + text[6000:])]
+        parts = [set(t[a:b] for a, b in zip(np.concatenate([[0], e[:-1]]).tolist(), e.tolist())) for t, e in zip((text, text[3000:3003] + text[:6000] + text[:9] + text[6000:]), cut)]
+        assert len(parts[0]) > 100 and len(parts[0] & parts[1]) > 0.95 * len(parts[0])
+        assert max(np.diff(e, prepend=0).max() for e in cut) <= 2 * chunks.WINDOW
 
 
 def test_segments_are_maximal():
