@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -373,6 +374,44 @@ def test_extract(spark):
     assert extract.main_text(pages.where("page_id < 0")).count() == 0
 
 
+KEPT = """<html><body><div class="header"><a href=/>Home page</a></div><nav><a href=1>One two</a></nav><div class="cookie-notice">We use cookies on this site to give you the best experience, and by going on you agree to all of that.</div>
+<article><h1>Main</h1><p>First words of the article are here and go on.</p><h2 id="discussion">Discussion</h2><p>We discuss it here at length in a paragraph.</p><section id="related-work"><h2>Related work</h2><p>Others did some of this before us.</p></section>
+<div class="search-results"><p>Three hits were found in all.</p></div><div class="ad">Buy this now please, and more of it, and then some more of that</div><p>After that a paragraph, with <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <svg><g><text>drawn words</text></g></svg>.</p>
+<div class="related"><a href=1>Other story one</a> <a href=2>Other story two</a></div><object>fallback text</object><canvas>more of it</canvas><p>Bye.</p></article>
+<section class="comments"><p>I like it very much indeed and would say more here and there.</p></section><div class="share">Share this</div><footer>All rights</footer></body></html>"""
+
+
+def test_extract_keeps_what_is_the_articles():
+    blocks = extract.extract(KEPT, extract.FIXED).split("\n\n")
+    assert blocks == ["Main", "First words of the article are here and go on.", "Discussion", "We discuss it here at length in a paragraph.", "Related work", "Others did some of this before us.", "Three hits were found in all.", "After that a paragraph, with x=1 and drawn words.", "fallback text", "more of it", "Bye."]
+    plain = extract.extract(KEPT.replace("article>", "div>"), extract.FIXED).split("\n\n")
+    assert plain[:8] == blocks[:8]
+
+
+def test_best_region():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        s = rng.choice([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 3.0], int(rng.integers(0, 14))).tolist()
+        every = [(sum(s[a:b]), -a, a - b, a, b) for a in range(len(s)) for b in range(a + 1, len(s) + 1) if sum(s[a:b]) > 0]
+        start, end = extract.best_region(s)
+        assert sum(s[start:end]) == (max(every)[0] if every else 0) and (every or (start, end) == (0, 0))
+
+
+def test_extract_is_linear():
+    for part in ("<a ", "<a>", '<a "', "<a '>", "<!--", "<noscript>", '<a href="x>', "<div class='ad'>", "<div class='related'>x ", "</div>", "<p id=q>"):
+        began = time.time()
+        extract.extract(part * (1_000_000 // len(part)), extract.FIXED)
+        assert time.time() - began < 30
+
+
+def test_extract_learns_names_outside_of_articles(spark):
+    page = "<html><body><div class=strap>Words {} of a strap line that is not marked in any known way</div>{}<p>Article words {} go on for long enough here.</p>{}</body></html>"
+    rows = [(k, page.format(k, "<article>", k, "</article>")) for k in range(30)] + [(99, page.format(99, "<div>", 99, "</div>")), (100, "<article><p>" + "long text here " * 100_000)]
+    got = by_id(extract.main_text(spark.createDataFrame(rows, "page_id long, html string"), keep=()), "page_id")
+    assert all(got[k].text == f"Article words {k} go on for long enough here." for k in [*range(30), 99])
+    assert got[100].n_chars == 15 * 100_000 - 1
+
+
 def repeated_words(k, raw, least, most):
     """Spans of text k, in whole words, that equal an earlier place and are long enough: every shift against every text."""
     text = np.frombuffer(raw[k], np.uint8)
