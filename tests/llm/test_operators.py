@@ -276,9 +276,13 @@ def test_decontamination(spark, docs, texts):
                         hit[at : at + len(w)] = True
                         found.add(str(i))
         want[k] = (len(doc), int(hit.sum()), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit.any()) and 20 * int(hit.sum()) >= len(doc))
-    for size in (8 << 20, 10):
-        got = by_id(decontam.decontaminate(docs, bench, block_bytes=size))
-        assert {k: tuple(r)[1:] for k, r in got.items()} == want
+    got = by_id(decontam.decontaminate(docs, bench))
+    assert {k: tuple(r)[1:] for k, r in got.items()} == want
+    again = docs.unionByName(docs.where("doc_id = 8")).unionByName(docs.where("doc_id = 8").withColumn("text", F.lit("clean words")))
+    left = decontam.keep_clean(again.withColumnRenamed("name", "_id"), bench)
+    assert sorted(r.doc_id for r in left.collect()) == sorted([k for k, w in want.items() if not w[4]] + [8]) and "_id" in left.columns
+    bare = decontam.decontaminate(docs.where("doc_id = 8"), bench.withColumn("item_id", F.lit(None).cast("long"))).first()
+    assert bare.n_hit == want[8][1] and bare.n_items == 0 and bare.items_sha256 == hashlib.sha256(b"").hexdigest()
     assert sum(w[4] for w in want.values()) > 2
     assert decontam.decontaminate(docs, bench.where("item_id < 0")).where("n_hit > 0").count() == 0
     assert decontam.decontaminate(empty(spark), bench).count() == 0

@@ -243,8 +243,9 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def from_counts(inside: dict[str, int], outside: dict[str, int]) -> dict[str, float]:
-    """Log-odds of each kind inside against outside of articles, the fixed weights counting for PRIOR tokens. Words stay
-    above zero and all else but links below; names (with "@") are kept where they stand outside only."""
+    """Log-odds of each kind inside against outside of articles, under a Dirichlet prior in proportion to its share in all;
+    the fixed weights count for PRIOR tokens more. Words stay above zero and all else but links below; names (with "@") are
+    kept where they stand outside only."""
     out = dict(FIXED)
     if not inside or not outside:
         return out
@@ -257,7 +258,8 @@ def from_counts(inside: dict[str, int], outside: dict[str, int]) -> dict[str, fl
         elif kind != " ":
             prior = FIXED.get(kind, FIXED["tag"])
             share = PRIOR / (PRIOR + x + y)
-            odds = share * prior + (1 - share) * (math.log((x + 1) / (a + 1)) - math.log((y + 1) / (b + 1)))
+            both = b * (x + y) / (a + b) + 1e-3  # as many tokens again as stand outside, in proportion, for either side
+            odds = share * prior + (1 - share) * (math.log((x + both) / (a + b)) - math.log((y + both) / (b + b)))
             out[kind] = max(0.25, odds) if kind == "word" else odds if kind == "link" else min(-0.05, odds)
     out["link"] = min(out["link"], out["word"] / 2)
     return out
