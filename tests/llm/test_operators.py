@@ -238,6 +238,27 @@ def test_simhash(spark, docs, texts):
     assert simhash.simhash(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [4096, 5, 1])
+def test_simhash_links(spark, chunk):
+    rng = np.random.default_rng(3)
+    base = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 12)]
+    values = sorted({b ^ sum(1 << int(k) for k in rng.choice(60, int(rng.integers(0, 5)), replace=False)) for b in base for _ in range(8)})
+    found = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), 4, chunk).collect()
+    near = [(i, j) for i in range(len(values)) for j in range(i) if ((values[i] ^ values[j]) & ((1 << 64) - 1)).bit_count() <= 4]
+    at = {v: k for k, v in enumerate(values)}
+    assert all(((r.a ^ r.b) & ((1 << 64) - 1)).bit_count() <= 1 << 6 for r in found)
+    assert roots(len(values), [(at[r.a], at[r.b]) for r in found]) == roots(len(values), near)
+
+
+def test_keep_first_tells_rows_of_one_id_apart(spark):
+    a, b, c = (sentence(np.random.default_rng(k), 40) for k in (31, 32, 33))
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (7, c, 4), (7, c, 4), (8, c, 1), (None, b, 9), (None, None, 1), (9, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _th long")
+    left = sorted(map(tuple, simhash.keep_first(df).collect()), key=str)
+    assert left == sorted([(3, a, 1), (7, c, 4), (None, b, 9), (None, None, 1)], key=str)
+    assert simhash.keep_first(df.where("doc_id < 0")).columns == df.columns
+
+
 def test_near_copies(spark, monkeypatch):
     rng = np.random.default_rng(12)
     texts = [None, "", "one two", "one two", " ".join(["again"] * 50)]
@@ -517,6 +538,19 @@ def test_toxicity(spark):
     assert queries.toxic_scores(docs.where("doc_id < 0"), labels).count() == 0
 
 
+def test_pipeline_edges(spark, tmp_path):
+    a, b, item = (sentence(np.random.default_rng(k), 60) for k in (41, 42, 43))
+    rows = [(3, a, 1, "x"), (5, a, 2, "x"), (5, b, 3, "x"), (5, b, 3, "x"), (6, item, 1, "x"), (6, "short text", 1, "x"), (None, None, 1, None), (8, "", 1, "y")]
+    schema = "doc_id long, text string, _th long, id string"
+    for name, docs, bench in (("full", rows, [(1, item)]), ("none", [], []), ("nobench", rows, [])):
+        spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(6, 0, 0), (None, 1, 1), (3, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = Counter((r.doc_id, r.doc_tokens > 1) for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect())
+        want = {"full": {(3, True): 1, (5, True): 1, (6, True): 1, (None, False): 1}, "none": {}, "nobench": {(3, True): 1, (5, True): 1, (6, True): 2, (None, False): 1}}[name]
+        assert got == want
+
+
 def test_pipeline(spark, docs, tmp_path):
     docs.select("doc_id", "text", "lang").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(6, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

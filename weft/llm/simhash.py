@@ -6,7 +6,8 @@ lower bound of the Hamming distance. Tiles are cut into chunks of bounded size,
 each comparison returns a spanning forest of its links rather than all pairs, which leaves the components unchanged.
 
 Null and empty texts have fingerprint zero and link like any other; repeated rows share a fingerprint; an empty table
-gives no rows; columns other than the id and the text are not read.
+gives no rows; columns other than the id and the text are not read, whatever their names. Equal fingerprints are ties and
+share the smallest id; very long texts are hashed whole.
 
 near_copies() links by the exact Jaccard similarity of the sets of shingles instead; fingerprints only thin its candidates.
 """
@@ -21,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, local_roots
+from .common import checkpoint, components, fresh, local_roots
 
-CHUNK = 4096
+CHUNK, GROUP = 4096, 4
 #: From the hash of a shingle to another one.
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -98,16 +99,36 @@ def compare(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.n
 
 
 def links(values: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
-    """Forest of links (a, b) between the distinct longs in values.fp that differ in radius bits or fewer."""
+    """Forest of links (a, b) between the distinct longs in values.fp that differ in radius bits or fewer.
+
+    A tile's chunks are gathered in groups of GROUP, and each pair of groups of two near tiles is a key of its own, so the
+    work of a large tile is dealt to many tasks. Tasks are as many as the comparisons ask for, whatever the rows' bytes.
+    """
+    spark = values.sparkSession
     v = values.select("fp", F.bit_count(F.shiftrightunsigned("fp", 32)).alias("hi"), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).alias("lo"))
-    sizes = v.groupBy("hi", "lo").count()  # 33 x 33 rows at most
-    v = v.join(F.broadcast(sizes), ["hi", "lo"]).withColumn("salt", F.pmod(F.xxhash64("fp"), F.ceil(F.col("count") / chunk)).cast("int"))
-    chunks = checkpoint(v.groupBy("hi", "lo", "salt").agg(F.collect_list("fp").alias("fps")))
+    tiles = {(r.hi, r.lo): r.n for r in v.groupBy("hi", "lo").agg(F.count("*").alias("n")).collect()}  # 33 x 33 rows at most
     near = [(h, k) for h in range(0, radius + 1) for k in range(-radius, radius + 1) if abs(h) + abs(k) <= radius and (h > 0 or k >= 0)]
+    work = sum(n * tiles.get((hi + h, lo + k), 0) for (hi, lo), n in tiles.items() for h, k in near)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, work >> 27))
+    sizes = spark.createDataFrame([(*t, -(-n // chunk), -(-n // (chunk * GROUP))) for t, n in tiles.items()], "hi int, lo int, chunks long, groups long")
+    v = v.join(F.broadcast(sizes.select("hi", "lo", "chunks")), ["hi", "lo"]).withColumn("salt", F.pmod(F.xxhash64("fp"), "chunks"))
+    chunks = checkpoint(v.groupBy("hi", "lo", "salt").agg(F.collect_list("fp").alias("fps")))
     offsets = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(k).alias("k")) for h, k in near])
-    a = chunks.select(F.explode(offsets).alias("o"), "hi", "lo", F.col("salt").alias("sa"), F.col("fps").alias("x")).select((F.col("hi") + F.col("o.h")).alias("hi"), (F.col("lo") + F.col("o.k")).alias("lo"), "sa", "x", ((F.col("o.h") == 0) & (F.col("o.k") == 0)).alias("same"))
-    b = chunks.select("hi", "lo", F.col("salt").alias("sb"), F.col("fps").alias("y"))
-    pairs = a.join(b, ["hi", "lo"]).where(~F.col("same") | (F.col("sa") <= F.col("sb"))).select("x", "y", (F.col("same") & (F.col("sa") == F.col("sb"))).alias("self"))
+    group = F.floor(F.col("salt") / GROUP).cast("long")
+
+    def side(sign: int, own: str, other: str, fps: str) -> DataFrame:
+        """Chunks by the pair of tiles (named by its lower one and the offset) and the pair of groups they belong to."""
+        x = chunks.select("hi", "lo", "salt", F.col("fps").alias(fps), F.explode(offsets).alias("o"))
+        far = sizes.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "groups")
+        x = x.join(F.broadcast(far), (F.col("_hi") == F.col("hi") + sign * F.col("o.h")) & (F.col("_lo") == F.col("lo") + sign * F.col("o.k")))
+        first = "hi", "lo"
+        return x.select(*[F.col(c if sign > 0 else "_" + c).alias(c) for c in first], F.col("o.h").alias("h"), F.col("o.k").alias("k"), group.alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias(other), F.col("salt").alias("s" + own), fps)
+
+    keys = ["hi", "lo", "h", "k", "ga", "gb"]
+    same = (F.col("h") == 0) & (F.col("k") == 0)
+    once = ~same | (F.col("ga") <= F.col("gb"))
+    a, b = (side(*how).where(once).repartition(tasks, *keys) for how in ((1, "ga", "gb", "x"), (-1, "gb", "ga", "y")))
+    pairs = a.join(b, keys).where(~same | (F.col("sga") <= F.col("sgb"))).select("x", "y", (same & (F.col("sga") == F.col("sgb"))).alias("self"))
 
     def run(batches):
         for p in batches:
@@ -137,12 +158,12 @@ def prefix_size(n: int, least: float) -> int:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
-    """(id, key, n, fp, fq, prefix): key stands for the set of shingles, fp and fq are its fingerprint of 128 bits."""
+    """(id, th, key, n, fp, fq, prefix): th is a hash of the text, key of its set of shingles, fp and fq the set's fingerprint of 128 bits."""
 
     def run(batches):
         for b in batches:
             key, n, fp, fq, prefix = [], [], [], [], []
-            for t in b.column(1).cast(pa.binary()):
+            for t in b.column(2).cast(pa.binary()):
                 s = np.unique(shingles(t.as_py() or b"", width))
                 key.append(xxhash.xxh3_64_intdigest(s.tobytes()))
                 n.append(len(s))
@@ -151,9 +172,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, least: float)
                 prefix.append(s[: prefix_size(len(s), least)].view(np.int64))
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             ends = np.cumsum([0] + [len(p) for p in prefix]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), longs(key), pa.array(n, pa.int32()), longs(fp), longs(fq), pa.ListArray.from_arrays(ends, np.concatenate([*prefix, np.empty(0, np.int64)]))], names=["id", "key", "n", "fp", "fq", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), longs(key), pa.array(n, pa.int32()), longs(fp), longs(fq), pa.ListArray.from_arrays(ends, np.concatenate([*prefix, np.empty(0, np.int64)]))], names=["id", "th", "key", "n", "fp", "fq", "prefix"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, key long, n int, fp long, fq long, prefix array<long>")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t")).mapInArrow(run, "id long, th long, key long, n int, fp long, fq long, prefix array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
@@ -182,7 +204,10 @@ def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, id_col: str, tex
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, radius: int = 40) -> DataFrame:
-    """(id_col, component_id): texts are linked where their sets of word shingles have a Jaccard similarity of `least`.
+    """(id_col, th, component_id, kept): texts are linked where their sets of word shingles have a Jaccard similarity of `least`.
+
+    Rows are told apart by the id and th, a hash of the text; kept marks the least of them in each component (a null id
+    comes first), rows that repeat both alike.
 
     Candidates share one of the smallest hashes (prefix_size: this loses nothing), differ little enough in size, and
     have fingerprints within radius of 128 bits; their sets are then compared. First each text meets one text of each hash
@@ -227,6 +252,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rest = checkpoint(blocks.mapInArrow(run, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"))
     comp = components(links.unionByName(check(rest)))
-    linked = ids.join(comp, ids.key == comp.node, "left").select("key", "id", F.coalesce("component", "key").alias("c"))
-    least_id = linked.groupBy("c").agg(F.min("id").alias("component_id"))
-    return base.select("id", "key").join(linked.select("key", "c").join(least_id, "c"), "key").select(F.col("id").alias(id_col), "component_id")
+    linked = ids.join(comp, ids.key == comp.node, "left").select("key", F.coalesce("component", "key").alias("c"))
+    rows = checkpoint(base.select("id", "th", "key").join(linked, "key").select("id", "th", "c"))
+    firsts = rows.groupBy("c").agg(F.min(F.struct("id", "th")).alias("first"))
+    return rows.join(firsts, "c").select(F.col("id").alias(id_col), "th", F.col("first.id").alias("component_id"), F.struct("id", "th").eqNullSafe(F.col("first")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of each component of near copies, all columns: the least by id and text. Of rows that repeat both, the one
+    whose columns come first as JSON stays."""
+    names, (one, th, n) = docs.columns, fresh(docs.columns, "id", "th", "n")
+    marked = near_copies(docs, id_col, text_col, width, least).groupBy(F.col(id_col).alias(one), F.col("th").alias(th)).agg(F.count("*").alias(n), F.max("kept").alias("kept"))
+    other = checkpoint(marked.where(f"NOT kept OR {n} > 1"))  # all but the single rows that stay
+    same = lambda x: docs[id_col].cast("long").eqNullSafe(x[one]) & (F.xxhash64(docs[text_col].cast("string")) == x[th])
+    single = docs.join(other, same(other), "left_anti")
+    twice = other.where("kept").select(one, th)
+    rows = docs.join(twice, same(twice)).groupBy(one, th).agg(F.min_by(F.struct(*[F.col(c) for c in names]), F.to_json(F.struct(*[F.col(c) for c in names]))).alias("row"))
+    return single.select(*names).unionByName(rows.select("row.*"))
