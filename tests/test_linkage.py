@@ -1,5 +1,6 @@
 """Edge cases of the linkage operators on hand-written rows."""
 
+import math
 import random
 from itertools import combinations
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import strsim, text
-from weft.operators import competition, decide, ensemble, metrics, models, sampling, synth, translit
+from weft.operators import competition, decide, ensemble, metrics, models, records, sampling, synth, translit
 from weft.sources import lists
 from weft.streaming import linkage
 
@@ -71,7 +72,7 @@ def test_romanise():
 def test_transliterate(spark):
     df = spark.createDataFrame([(1, "राम, Stores"), (2, "x"), (3, "")], "id int, t string")
     table = spark.createDataFrame([("राम", "ram")], "src string, dst string")
-    assert {r.id: r.t for r in text.transliterate(df, "id", "t", table).collect()} == {1: "ram, Stores", 2: "x", 3: ""}
+    assert {r.id: r.t for r in text.transliterate(df, "t", table).collect()} == {1: "ram, Stores", 2: "x", 3: ""}
 
 
 def test_learn(spark):
@@ -237,11 +238,16 @@ def test_boosting_and_scorers(spark, tmp_path):
 
 def test_synthetic_world(spark):
     n = spark.createDataFrame([(k, f"name {k} service", f"{k} main street", "us") for k in range(60)], "id long, name string, addr string, country string")
-    a, pool, truth = synth.world(n.where("id < 40").drop("country"), n.where("id >= 40").drop("country"))
+    own = n.where("id < 40").drop("country")
+    fake = n.where("id >= 40").select(F.col("id").alias("p"), "name", "addr", F.expr("int(2 + id % 2)").alias("src"))
+    counts = own.select(F.col("id").alias("q"), F.expr("id % 3").alias("n2"), F.expr("id % 2").alias("n3"))
+    a, pool, truth = synth.world(own, fake, counts)
     assert truth.join(pool, "p", "left_anti").count() == 0 and truth.join(a, "q", "left_anti").count() == 0
-    assert sorted(pool.collect()) == sorted(synth.world(n.where("id < 40").drop("country").repartition(5), n.where("id >= 40").drop("country"))[1].collect())
-    g = synth.groups(n).collect()
-    assert {r.gid for r in g} == set(range(60)) and sum(r.y for r in g) == 60
+    assert pool.count() == sum(k % 3 + k % 2 for k in range(40)) + 20
+    assert sorted(pool.collect()) == sorted(synth.world(own.repartition(5), fake, counts)[1].collect())
+    for size in (1000, 7):
+        g = synth.groups(n, bucket=size).collect()
+        assert {r.gid for r in g} == set(range(60)) and sum(r.y for r in g) == 60
 
 
 def test_stream(spark, tmp_path):
@@ -251,3 +257,105 @@ def test_stream(spark, tmp_path):
     arrivals = spark.readStream.schema("p long, name string").parquet(src)
     linkage.link_stream(arrivals, ids, lambda e, b: e.join(b, "name").select("q", "p"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert pairs_of(spark.read.parquet(str(tmp_path / "out"))) == [(1, 7)]
+
+
+def test_transliterate_keeps_rows_apart(spark):
+    df = spark.createDataFrame([(1, "राम a"), (1, "b"), (1, "राम a"), (2, None)], "id int, t string")
+    table = spark.createDataFrame([("राम", "ram"), ("राम", "raam"), ("a", "x")], "src string, dst string")
+    assert sorted((r.id, r.t) for r in text.transliterate(df, "t", table).collect() if r.t) == [(1, "b"), (1, "raam x"), (1, "raam x")]
+    part = spark.createDataFrame([("a राम, a",)], "t string")
+    assert text.transliterate(part, "t", table, True).first().t == "x raam, a"
+
+
+def test_drop_after_expansion(spark):
+    assert norm(spark, "x", "12 Ste Anne, Lille", "France").addr_norm == "12 sainte anne lille"
+    assert norm(spark, "x", "12 Main Ste 4", "US").addr_norm == "12 main 4" and norm(spark, "x", "3 ciy flor", "US").addr_norm == "3"
+
+
+def test_kernels_in_batches():
+    rng = random.Random(3)
+    a, b = ([("".join(rng.choice("abcdé ") for _ in range(rng.choice((0, 1, 5, 20, 63, 64, 65, 130))))) for _ in range(400)] for _ in range(2))
+    assert strsim.lcs_many(a, b).tolist() == [strsim.lcs(x, y) for x, y in zip(a, b)]
+    assert strsim.ratio_many(a, b).tolist() == pytest.approx([strsim.ratio_of(x, y) for x, y in zip(a, b)])
+    assert strsim.token_set_many(a, b).tolist() == pytest.approx([strsim.token_set_of(x, y) for x, y in zip(a, b)])
+    a, b = a[:60], b[:60]
+    assert strsim.partial_many(a, b).tolist() == pytest.approx([strsim.partial_of(x, y) for x, y in zip(a, b)])
+    assert strsim.lcs_many([], []).tolist() == []
+
+
+def test_listwise_loss_of_great_logits(spark):
+    df = spark.createDataFrame([(1, 900.0, 1), (1, 890.0, 0), (2, -900.0, 1), (2, 0.0, 0)], "gid int, s double, y int")
+    got = {r.gid: r.loss for r in models.info_nce(df).collect()}
+    assert got[1] == pytest.approx(math.log1p(math.exp(-10))) and got[2] == pytest.approx(900.0)
+
+
+def test_prepare_dictionary_and_report(spark, tmp_path):
+    folder = tmp_path / "data" / "train"
+    folder.mkdir(parents=True)
+    head = "entity_id\tbusiness_name\tbusiness_address\tcountry\n"
+    (folder / "train_source1.tsv").write_text(head + "S1-1\tराम Ltd\t1 Main St\tIndia\nS1-2\tCafé SARL\t2 Ste Anne\tFrance\n")
+    (folder / "train_source2.tsv").write_text(head + "S2-1\tRam\t1 Main St\tIndia\n")
+    (folder / "train_source3.tsv").write_text(head + "S3-1\tCafe\t\tFrance\n")
+    lists.save_dictionary(spark.createDataFrame([("राम", "ram")], "src string, dst string"), f"{tmp_path}/d")
+    (tmp_path / "one.json").write_text('{"राम": "ram", "x": "y"}')
+    known = lists.load_dictionary(spark, f"{tmp_path}/d")
+    assert [tuple(r) for r in known.collect()] == [("राम", "ram")] and lists.load_dictionary(spark, f"{tmp_path}/one.json").count() == 2
+    lists.prepare(spark, f"{tmp_path}/data", "train", f"{tmp_path}/out", known)
+    first, pool = lists.load_prepared(spark, f"{tmp_path}/out", "train")
+    assert {r.entity_id: (r.name_key, r.addr_norm, r.country) for r in first.collect()} == {"S1-1": ("ram", "1 main street", "india"), "S1-2": ("cafe", "2 sainte anne", "france")}
+    assert {r.entity_id: r.src for r in pool.collect()} == {"S2-1": 2, "S3-1": 3}
+    new = spark.createDataFrame([("S2-9", "india")], "entity_id string, country string")
+    lists.replace_countries(spark, pool.where("country = 'france'").select("entity_id", "country").unionByName(pool.where("country = 'india'").select("entity_id", "country")), f"{tmp_path}/cands")
+    lists.replace_countries(spark, new, f"{tmp_path}/cands")
+    assert sorted(r.entity_id for r in spark.read.parquet(f"{tmp_path}/cands").collect()) == ["S2-9", "S3-1"]
+    lists.write_report(spark, {"best": 0.5, "rule": ["thr", 1]}, f"{tmp_path}/report")
+    assert lists.read_report(spark, f"{tmp_path}/report") == {"best": 0.5, "rule": ["thr", 1]}
+    assert lists.raw_paths("/x/", "test")["source3"] == "/x/test/test_source3.tsv"
+
+
+def test_feature_matrix(spark, tmp_path):
+    raw = [(k, f"Blue Ring {k} Ltd", f"{k} Main Rd", "US", 2 + k % 2) for k in range(6)]
+    n = text.normalize(spark.createDataFrame(raw, "entity_id long, business_name string, business_address string, country string, src int")).withColumnRenamed("entity_id", "id")
+    cands = spark.createDataFrame([(0, 1, 0.5, 0.2, 0.3), (0, 3, 0.4, 0.1, 0.2), (2, 3, 0.9, 0.8, 0.85)], "q long, p long, name_cos double, addr_cos double, comb double")
+    a, b = n.where("id % 2 = 0"), n.where("id % 2 = 1")
+    x = records.feature_matrix(cands, a, b)
+    assert x.count() == 3 and {"q_n", "n_ratio", "b_src", "legal_eq", "a_addr_pool_cnt", "b_oov_frac", "n_abbr_b", "p_second_comb"} <= set(x.columns)
+    assert records.held_record_features(a, b)[0] is records.held_record_features(a, b)[0]
+    staged = records.stage_features(x, f"{tmp_path}/x")
+    assert staged.columns == x.columns and staged.count() == 3
+
+
+def test_scores_by_saved_models_and_seeds(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(k, rng.random(), k % 2, k % 10 == 0) for k in range(200)]
+    df = spark.createDataFrame([(k, x, float(x + rng.random() * 0.2 > 0.6), f, v) for k, x, f, v in rows], "q long, x double, y double, fold int, val boolean")
+    fitted, scored = models.many_seeds(df, lambda s: models.Boosted(["x"], 2, 2, s), [1, 2])
+    for k, pair in enumerate(fitted):
+        for f, m in enumerate(pair):
+            m.save(f"{tmp_path}/m{k}{f}")
+    loaded = [[models.Boosted(["x"]).load(f"{tmp_path}/m{k}{f}") for f in (0, 1)] for k in (0, 1)]
+    again = {r.q: r.prob for r in models.rescore(loaded, df).collect()}
+    assert {r.q: r.prob for r in scored.collect()} == pytest.approx(again) and len(again) == 200
+
+
+def test_judge(spark):
+    df = spark.createDataFrame([("A", "B", {"yes": -0.5, " Yes": -0.1, "no": -3.0}), ("A", None, {"x": -1.0})], "a string, b string, lp map<string,double>")
+    got = df.select(models.judge_prompt("a", "b").alias("t"), models.best_answer("lp", models.YES).alias("yes"), models.best_answer("lp", models.NO).alias("no")).collect()
+    assert got[0].t == "Record A: A\nRecord B: B\nSame business?" and (got[0].yes, got[0].no, got[1].yes) == (-0.1, -3.0, None)
+
+
+def test_auc_of_scores_beyond_one(spark):
+    df = spark.createDataFrame([(float(s), y) for s, y in ((-5, 0), (10, 0), (20, 1), (300, 1), (300, 0))], "s double, y int")
+    assert metrics.auc(df, "s", "y").first().auc == pytest.approx(4.5 / 6)
+
+
+def test_worlds(spark):
+    own = spark.createDataFrame([(k, f"Firm {k} SARL", f"{k} rue Haute, Lille, Nord") for k in range(40)], "id long, name string, addr string")
+    counts = synth.copy_counts(own.select(F.col("id").alias("q")), spark.createDataFrame([(k, k % 2, 1) for k in range(10)], "q long, n2 long, n3 long"), 3)
+    assert counts.count() == 40 and {(r.n2, r.n3) for r in counts.collect()} == {(0, 1), (1, 1)}
+    pool = spark.createDataFrame([(100 + k, "Decoy", "1 x", 2 + k % 2) for k in range(30)], "p long, name string, addr string, src int")
+    fake = synth.unowned(pool, spark.createDataFrame([(100, 0.9)], "p long, prob double"), own, 0.02, 0.4)
+    entities, records_, truth = synth.world(own, fake, counts)
+    assert 100 not in {r.p for r in fake.collect()} and {r.src for r in records_.collect()} == {2, 3} and truth.count() > 20 and entities.count() < 40
+    noisy = synth.add_french_noise(own.withColumn("other", F.lit("Autre")))
+    assert noisy.count() == 40 and sum(a.name != b.name for a, b in zip(own.orderBy("id").collect(), noisy.orderBy("id").collect())) > 10

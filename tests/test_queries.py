@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from weft.plans import queries as Q
+from weft.plans import texts, tuning  # noqa: F401  (they add queries)
 
 DIR = "/root/testdata/sf0.001"
 

@@ -1,10 +1,11 @@
-"""String similarity: Arrow UDFs for sequence kernels, column expressions for sets.
+"""String similarity: Arrow UDFs for sequence kernels, over whole batches, and column expressions for sets.
 
 ratio is the normalised indel similarity, 200 * LCS / (len a + len b), and 100 for two empty strings. Null counts as "".
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,32 +100,166 @@ def abbreviations_of(a: str, b: str) -> tuple[float | None, float | None, float
     return hit_b / len(y), hit_a / len(x), float(hit_a == len(x)), float(len(y) - hit_b)
 
 
-def _pairwise(fn):
+WIDE = 64
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of texts of at most WIDE as a table (0 beyond the end), and lengths."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.zeros((len(texts), int(size.max(initial=0)) or 1), np.uint32)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32) + 1
+    out[np.arange(out.shape[1]) < size[:, None]] = flat
+    return out, size
+
+
+def lcs_many(a: list[str], b: list[str]) -> np.ndarray:
+    """lcs of each pair. Pairs whose shorter text has at most WIDE characters go side by side, one bit-parallel row a step
+    for all of them; equal affixes count as they are. Longer ones go one by one."""
+    out = np.zeros(len(a), np.int64)
+    short = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)]
+    wide = [k for k, (x, _) in enumerate(short) if len(x) > WIDE]
+    for k in wide:
+        out[k] = lcs(*short[k])
+    skip = set(wide)
+    todo = sorted((k for k in range(len(a)) if k not in skip and short[k][0]), key=lambda k: (len(short[k][1]), len(short[k][0])))
+    for at in range(0, len(todo), 2048):
+        part = todo[at : at + 2048]
+        x, n = _codes([short[k][0] for k in part])
+        y, m = _codes([short[k][1] for k in part])
+        bit = np.uint64(1) << np.arange(x.shape[1], dtype=np.uint64)
+        full = np.where(n >= 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (n % 64).astype(np.uint64)) - np.uint64(1))
+        s = full.copy()
+        for j in range(y.shape[1]):
+            u = s & ((x == y[:, j : j + 1]) * bit).sum(axis=1, dtype=np.uint64)
+            s = np.where(j < m, ((s + u) | (s - u)) & full, s)
+        out[part] = n - np.bitwise_count(s).astype(np.int64)
+    return out
+
+
+def ratio_many(a: list[str], b: list[str]) -> np.ndarray:
+    total = np.fromiter((len(x) + len(y) for x, y in zip(a, b)), np.int64, len(a))
+    return np.where(total > 0, 200.0 * lcs_many(a, b) / np.maximum(total, 1), 100.0)
+
+
+def token_sort_many(a: list[str], b: list[str]) -> np.ndarray:
+    return ratio_many([sorted_tokens(x) for x in a], [sorted_tokens(y) for y in b])
+
+
+def token_set_many(a: list[str], b: list[str]) -> np.ndarray:
+    """token_set_of each pair: what no set settles becomes ratios, all taken at once."""
+    out, left, right, whose = np.zeros(len(a)), [], [], []
+    for k, (p, q) in enumerate(zip(a, b)):
+        x, y = set(p.split()), set(q.split())
+        if not x or not y:
+            continue
+        both, only_a, only_b = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
+        if both and (not only_a or not only_b):
+            out[k] = 100.0
+            continue
+        sa, sb = (f"{both} {only_a}", f"{both} {only_b}") if both else (only_a, only_b)
+        for u, v in ((sa, sb), (both, sa), (both, sb)) if both else ((sa, sb),):
+            left.append(u)
+            right.append(v)
+            whose.append(k)
+    if left:
+        np.maximum.at(out, np.array(whose), ratio_many(left, right))
+    return out
+
+
+def partial_many(a: list[str], b: list[str]) -> np.ndarray:
+    """partial_of each pair: every window of each pair, in stretches of pairs."""
+    out = np.zeros(len(a))
+    left, right, whose = [], [], []
+
+    def flush():
+        if left:
+            np.maximum.at(out, np.array(whose), ratio_many(left, right))
+            left.clear(), right.clear(), whose.clear()
+
+    for k, (x, y) in enumerate(zip(a, b)):
+        if len(x) > len(y):
+            x, y = y, x
+        if not x or x in y:
+            out[k] = 100.0 if x or not y else 0.0
+            continue
+        n, m = len(x), len(y)
+        for u, v in ((x, y), (y, x)) if n == m else ((x, y),):
+            spans = [v[max(0, j) : min(m, j + n)] for j in range(1 - n, m)]
+            left += [u] * len(spans)
+            right += spans
+            whose += [k] * len(spans)
+        if len(left) > 1 << 16:
+            flush()
+    flush()
+    return out
+
+
+def jaro_winkler_many(a: list[str], b: list[str]) -> np.ndarray:
+    return np.fromiter((jaro_winkler_of(x, y) for x, y in zip(a, b)), float, len(a))
+
+
+def _distinct(many, a: pd.Series, b: pd.Series) -> np.ndarray:
+    """many over the distinct pairs of a batch; null counts as empty."""
+    where: dict = {}
+    at = np.fromiter((where.setdefault((x or "", y or ""), len(where)) for x, y in zip(a, b)), np.int64, len(a))
+    return many([x for x, _ in where], [y for _, y in where])[at] if len(a) else np.zeros(0)
+
+
+def kernels(pairs: dict[str, tuple[str, Column, Column]]) -> Column:
+    """Struct of similarities in one Arrow pass: name -> (kernel, a, b); equal texts travel once.
+
+    Kernels: ratio, token_sort, token_set, partial, jaro_winkler, and abbreviations, which gives four values.
+    """
+    many = {"ratio": ratio_many, "token_sort": token_sort_many, "token_set": token_set_many, "partial": partial_many, "jaro_winkler": jaro_winkler_many}
+    cols: dict[str, int] = {}
+    order: list[Column] = []
+    plan = []
+    for name, (kind, a, b) in pairs.items():
+        at = []
+        for c in (a, b):
+            key = str(c)
+            if key not in cols:
+                cols[key] = len(order)
+                order.append(c)
+            at.append(cols[key])
+        plan.append((name, kind, *at))
+    names = [n for name, kind, *_ in plan for n in (ABBREVIATIONS if kind == "abbreviations" else [name])]
+
+    def run(*series: pd.Series) -> pd.DataFrame:
+        out, held = {}, {}
+        for name, kind, i, j in plan:
+            if kind == "abbreviations":
+                rows = [abbreviations_of(x or "", y or "") for x, y in zip(series[i], series[j])]
+                out |= {n: pd.Series([r[k] for r in rows], dtype="float64") for k, n in enumerate(ABBREVIATIONS)}
+                continue
+            if (kind, i, j) not in held:
+                held[kind, i, j] = _distinct(many[kind], series[i], series[j])
+            out[name] = held[kind, i, j]
+        return pd.DataFrame(out, columns=names)
+
+    return F.pandas_udf(run, "struct<" + ",".join(f"{n}:double" for n in names) + ">")(*order)
+
+
+ABBREVIATIONS = ["n_abbr_b", "n_abbr_a", "n_a_in_b", "n_extra_b"]
+
+
+def _pairwise(many):
     """A column function over Arrow batches. The UDF is made on call: workers import this module without a session."""
 
     def apply(a, b) -> Column:
         def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([fn(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+            return pd.Series(_distinct(many, a, b), dtype="float64")
 
         return F.pandas_udf(run, "double")(a, b)
 
     return apply
 
 
-ratio = _pairwise(ratio_of)
-token_sort_ratio = _pairwise(lambda a, b: ratio_of(sorted_tokens(a), sorted_tokens(b)))
-token_set_ratio = _pairwise(token_set_of)
-partial_ratio = _pairwise(partial_of)
-jaro_winkler = _pairwise(jaro_winkler_of)
-
-
-def abbreviation_features(a, b) -> Column:
-    """Struct of n_abbr_b, n_abbr_a, n_a_in_b, n_extra_b."""
-
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([abbreviations_of(x or "", y or "") for x, y in zip(a, b)], columns=["n_abbr_b", "n_abbr_a", "n_a_in_b", "n_extra_b"], dtype="float64")
-
-    return F.pandas_udf(run, "struct<n_abbr_b:double,n_abbr_a:double,n_a_in_b:double,n_extra_b:double>")(a, b)
+ratio = _pairwise(ratio_many)
+token_sort_ratio = _pairwise(token_sort_many)
+token_set_ratio = _pairwise(token_set_many)
+partial_ratio = _pairwise(partial_many)
+jaro_winkler = _pairwise(jaro_winkler_many)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -150,6 +285,3 @@ def number_features(a: Column, b: Column) -> dict[str, Column]:
     }
 
 
-def text_features(prefix: str, a: Column, b: Column) -> dict[str, Column]:
-    both = (a != "") & (b != "")
-    return {f"{prefix}_ratio": F.when(both, ratio(a, b)), f"{prefix}_tset": F.when(both, token_set_ratio(a, b)), f"{prefix}_tsort": F.when(both, token_sort_ratio(a, b)), f"{prefix}_jacc": jaccard(tokens(a), tokens(b))}

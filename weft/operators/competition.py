@@ -96,5 +96,12 @@ def random_k(pairs: DataFrame, part: list[str], k: int, seed: int = 0) -> DataFr
 
 
 def shared_keys(records: DataFrame, keys: list[str]) -> DataFrame:
-    """Flags of records whose (country, key) another record has too."""
-    return records.withColumns({f"{k}_shared": (F.count("*").over(Window.partitionBy("country", k)) > 1).cast("long") for k in keys})
+    """Flags of records whose (country, key) another record has too.
+
+    Keys are counted with partial sums and only the shared ones are joined back: a blank address that a third of all
+    records have is one row there, and AQE may split its side of the join.
+    """
+    for k in keys:
+        many = records.groupBy("country", k).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("country").alias("_c"), F.col(k).alias("_k"), F.lit(1).cast("long").alias(f"{k}_shared"))
+        records = records.join(many, records["country"].eqNullSafe(many["_c"]) & records[k].eqNullSafe(many["_k"]), "left").drop("_c", "_k").na.fill(0, [f"{k}_shared"])
+    return records

@@ -58,11 +58,15 @@ def rescue_empty(best: DataFrame, chosen: DataFrame, low: float) -> DataFrame:
 
 
 def drop_ambiguous(chosen: DataFrame, records: DataFrame, pool: DataFrame) -> DataFrame:
-    """Pairs go whose pool address is empty while another record of the country has the same name."""
-    shared = F.count("*").over(Window.partitionBy("country", "name_key")) > 1
-    left = records.select(F.col("id").alias("q"), shared.alias("_shared"))
-    right = pool.select(F.col("id").alias("p"), F.col("addr_empty").alias("_empty"))
-    return chosen.join(left, "q", "left").join(right, "p", "left").where(~F.coalesce(F.col("_shared") & (F.col("_empty") == 1), F.lit(False))).drop("_shared", "_empty")
+    """Pairs go whose pool address is empty while another record of the country has the same name.
+
+    Names are counted with partial sums, and only shared ones are joined back, so a common name never fills one task.
+    """
+    shared = records.groupBy("country", "name_key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("country").alias("_c"), F.col("name_key").alias("_k"))
+    left = records.join(shared, records["country"].eqNullSafe(shared["_c"]) & records["name_key"].eqNullSafe(shared["_k"]), "left_semi").select(F.col("id").alias("q"))
+    right = pool.where(F.col("addr_empty") == 1).select(F.col("id").alias("p"))
+    bad = chosen.select("q", "p").join(left, "q", "left_semi").join(right, "p", "left_semi")
+    return chosen.join(bad, ["q", "p"], "left_anti")
 
 
 def post_filter(chosen: DataFrame, records: DataFrame, pool: DataFrame, countries: list[str], alike: Column, least: float, mode: str = "either", shared_cut: float | None = None) -> DataFrame:
@@ -90,3 +94,18 @@ def completion(best: DataFrame, cut: float, low: float, least: float) -> DataFra
 
 def group_threshold(best: DataFrame, flag: str, shared: float, unique: float) -> DataFrame:
     return best.where(F.col("prob") >= F.when(F.col(flag) == 1, shared).otherwise(unique))
+
+
+def siblings(best: DataFrame, pool: DataFrame, alike, cut: float, low: float, least: float, prob_least: float, addr_least: float | None = None) -> DataFrame:
+    """Rejected pairs (low <= prob < cut) that resemble a record their entity has already: name by alike(a, b) >= least and,
+    if asked, address too. pool: id, name_key, addr_norm; empty addresses are like none. An entity's chosen records are few,
+    so the join by q stays as large as its candidates times those."""
+    chosen = best.where(F.col("prob") >= cut)
+    rec = lambda s: pool.select(F.col("id").alias("p" if s == "i" else "_p"), F.col("name_key").alias(f"_n{s}"), F.col("addr_norm").alias(f"_a{s}"))
+    have = chosen.select("q", F.col("p").alias("_p")).join(rec("j"), "_p")
+    cand = best.where((F.col("prob") < cut) & (F.col("prob") >= F.greatest(F.lit(low), F.lit(prob_least)))).join(rec("i"), "p")
+    both = cand.select("q", "p", "_ni", "_ai").join(have, "q")
+    addr = F.when((F.col("_ai") != "") & (F.col("_aj") != ""), alike(F.col("_ai"), F.col("_aj"))).otherwise(0.0)
+    g = both.groupBy("q", "p").agg(F.max(F.coalesce(alike(F.col("_ni"), F.col("_nj")), F.lit(0.0))).alias("_s"), F.max(F.coalesce(addr, F.lit(0.0))).alias("_a"))
+    ok = g.where((F.col("_s") >= least) & (F.lit(addr_least is None) | (F.col("_a") >= F.lit(addr_least or 0.0)))).select("q", "p")
+    return chosen.unionByName(best.join(ok, ["q", "p"], "left_semi"))

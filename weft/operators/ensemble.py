@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import metrics
+
 
 def blend(pairs: DataFrame, other: DataFrame, weight: float, prob: str = "prob", ext: str = "p_ext") -> DataFrame:
     """(1 - weight) * prob + weight * ext where ext is there, else prob."""
@@ -90,3 +92,46 @@ def pair_sets(a: DataFrame, b: DataFrame) -> DataFrame:
     """Sizes of the intersection and the differences of two pair sets."""
     n = a.select("q", "p", F.lit(1).alias("w")).distinct().unionByName(b.select("q", "p", F.lit(2).alias("w")).distinct()).groupBy("q", "p").agg(F.sum("w").alias("w"))
     return n.groupBy(F.element_at(F.array(F.lit("only_a"), F.lit("only_b"), F.lit("both")), F.col("w").cast("int")).alias("part")).agg(F.count("*").alias("pairs"))
+
+
+def blend_sweep(pairs: DataFrame, other: DataFrame, weights: list[float], two: float, three: float, truth: DataFrame, ids: DataFrame) -> DataFrame:
+    """(weight, macro_f05, touched_f05) of a blend's weights: one owner a record and the thresholds by source for each
+    weight, over all entities and over those with a blended pair. The join with the other score is made once."""
+    d = pairs.join(other, ["q", "p"], "left")
+    every = d.withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights]))).withColumn("prob", F.coalesce((1 - F.col("weight")) * F.col("prob") + F.col("weight") * F.col("p_ext"), F.col("prob")))
+    w = Window.partitionBy("weight", "p").orderBy(F.desc("prob"), "q")
+    owned = every.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").where(F.col("prob") >= F.when(F.col("src") == 2, two).otherwise(three))
+    hit = owned.join(truth.select("q", "p", F.lit(1).alias("_t")).distinct(), ["q", "p"], "left")
+    per = hit.groupBy("weight", "q").agg(F.sum(F.coalesce("_t", F.lit(0))).alias("tp"), F.count("*").alias("npred"))
+    ntrue = ids.select("q").join(truth.groupBy("q").agg(F.countDistinct("p").alias("ntrue")), "q", "left").na.fill(0)
+    touched = d.where("p_ext IS NOT NULL").select("q").distinct().withColumn("_touched", F.lit(1.0))
+    base = ntrue.join(touched, "q", "left").na.fill(0.0, ["_touched"]).withColumn("weight", F.explode(F.array(*[F.lit(float(x)) for x in weights])))
+    f = metrics.f05(F.col("tp"), F.col("npred"), F.col("ntrue"))
+    return base.join(per, ["weight", "q"], "left").na.fill(0, ["tp", "npred"]).groupBy("weight").agg(F.avg(f).alias("macro_f05"), F.avg(F.when(F.col("_touched") == 1, f)).alias("touched_f05"))
+
+
+def disagreement(runs: dict[str, DataFrame], ref: str, ids: DataFrame) -> DataFrame:
+    """(run, country, entities, differ, added, removed) of each run against the reference run. ids: q, country."""
+    old = runs[ref].select("q", "p", F.lit(1).alias("_o"))
+    parts = []
+    for name, run in runs.items():
+        if name == ref:
+            continue
+        both = run.select("q", "p", F.lit(1).alias("_n")).join(old, ["q", "p"], "full")
+        per = both.groupBy("q").agg(F.count_if(F.col("_o").isNull()).alias("a"), F.count_if(F.col("_n").isNull()).alias("r"))
+        e = ids.join(per, "q", "left").na.fill(0, ["a", "r"])
+        parts.append(e.groupBy(F.lit(name).alias("run"), "country").agg(F.count("*").alias("entities"), F.count_if(F.col("a") + F.col("r") > 0).alias("differ"), F.sum("a").alias("added"), F.sum("r").alias("removed")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def contested(runs: list[DataFrame], ids: DataFrame) -> DataFrame:
+    """(country, pairs, contested): pairs of any run, and those that not all runs have."""
+    all_ = reduce(lambda a, b: a.unionByName(b), [r.select("q", "p").distinct() for r in runs])
+    n = all_.groupBy("q", "p").agg(F.count("*").alias("votes")).join(ids, "q")
+    return n.groupBy("country").agg(F.count("*").alias("pairs"), F.count_if(F.col("votes") < len(runs)).alias("contested"))
+
+
+def pair_sets_by(a: DataFrame, b: DataFrame, ids: DataFrame, col: str = "country") -> DataFrame:
+    """(country, only_a, only_b, both) of two pair sets."""
+    n = a.select("q", "p", F.lit(1).alias("w")).distinct().unionByName(b.select("q", "p", F.lit(2).alias("w")).distinct()).groupBy("q", "p").agg(F.sum("w").alias("w"))
+    return n.join(ids, "q").groupBy(col).agg(*[F.count_if(F.col("w") == k).alias(name) for k, name in ((1, "only_a"), (2, "only_b"), (3, "both"))])

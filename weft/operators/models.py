@@ -97,13 +97,49 @@ def mean_score(models: list, df: DataFrame, out: str = "prob") -> DataFrame:
     return df.withColumn(out, sum(F.col(n) for n in names) / len(names)).drop(*names)
 
 
+def many_seeds(df: DataFrame, make: Callable[[int], Boosted], seeds: list[int], label: str = "y", fold: str = "fold", val: str = "val", out: str = "prob") -> tuple[list[list[Boosted]], DataFrame]:
+    """Two-fold stacking once a seed; out is the mean over seeds. Models by seed, then fold."""
+    models = [[make(s).fit(df.where((F.col(fold) == f) | F.col(val)), label, val) for f in (0, 1)] for s in seeds]
+    return models, rescore(models, df, fold, val, out)
+
+
+def rescore(models: list[list[Boosted]], df: DataFrame, fold: str = "fold", val: str = "val", out: str = "prob") -> DataFrame:
+    """Out-of-fold scores by models that are there (saved and loaded, say): rows of a fold get the mean, over seeds, of the
+    models that have not seen it, validation rows that of all models."""
+    parts = [mean_score([m[1 - f] for m in models], df.where((F.col(fold) == f) & ~F.col(val)), out) for f in (0, 1)]
+    return reduce(DataFrame.unionByName, [*parts, mean_score([x for m in models for x in m], df.where(F.col(val)), out)])
+
+
 def info_nce(groups: DataFrame, gid: str = "gid", score: str = "s", label: str = "y") -> DataFrame:
-    """Listwise loss by group: the mean over positives of -(s - log(e^s + sum of e^s of the negatives))."""
-    g = groups.groupBy(gid).agg(F.sum(F.when(F.col(label) == 0, F.exp(score)).otherwise(0.0)).alias("_neg"))
-    pos = groups.where(F.col(label) == 1).join(g, gid)
-    return pos.groupBy(gid).agg(F.avg(-(F.col(score) - F.log(F.exp(score) + F.col("_neg")))).alias("loss"))
+    """Listwise loss by group: the mean over positives of -(s - log(e^s + sum of e^s of the negatives)).
+
+    Scores are shifted by the group's greatest before exp, so logits of any size stay finite.
+    """
+    top = groups.groupBy(gid).agg(F.max(score).alias("_m"))
+    x = groups.join(top, gid).withColumn("_e", F.exp(F.col(score) - F.col("_m")))
+    g = x.groupBy(gid).agg(F.sum(F.when(F.col(label) == 0, F.col("_e")).otherwise(0.0)).alias("_neg"))
+    pos = x.where(F.col(label) == 1).join(g, gid)
+    gap = F.col(score) - F.col("_m")
+    # beside a much greater negative e^s is lost, and so is the positive's share: the log of the negatives remains
+    return pos.groupBy(gid).agg(F.avg(F.log(F.col("_e") + F.col("_neg")) - gap).alias("loss"))
 
 
 def judge_probability(yes: str, no: str, missing: float = -30.0):
     """P(yes) from two log-probabilities."""
     return 1 / (1 + F.exp(F.coalesce(F.col(no), F.lit(missing)) - F.coalesce(F.col(yes), F.lit(missing))))
+
+
+# What a judge is asked about a pair, and the answers that count.
+JUDGE_SYSTEM = "You decide whether two records name the same business. Answer yes or no."
+YES, NO = ("yes", "Yes", " yes", " Yes", "YES"), ("no", "No", " no", " No", "NO")
+
+
+def judge_prompt(a: str, b: str):
+    """The question about the texts in columns a and b, as the user's turn."""
+    return F.concat(F.lit("Record A: "), F.coalesce(F.col(a), F.lit("")), F.lit("\nRecord B: "), F.coalesce(F.col(b), F.lit("")), F.lit("\nSame business?"))
+
+
+def best_answer(logprobs: str, answers: tuple[str, ...]):
+    """The greatest log-probability of the answers in a map column of next tokens; null if none is there."""
+    found = F.filter(F.transform(F.array(*[F.lit(w) for w in answers]), lambda w: F.try_element_at(F.col(logprobs), w)), lambda x: x.isNotNull())
+    return F.array_max(found)

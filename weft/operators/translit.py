@@ -22,7 +22,6 @@ def learn(pairs: DataFrame, alike: Callable[[Column, Column], Column] = sounds_a
     pairs: a_name, a_addr, b_name, b_addr. A foreign word of an address meets the words of the last components of the
     other address only. score = count(src, dst) / count(src) * (0.5 + alike), kept from `least` on; ties go to the smaller word.
     """
-    pairs = pairs.withColumn("_id", F.monotonically_increasing_id())
     foreign = lambda c: F.array_distinct(F.filter(words(F.col(c)), lambda w: w.rlike(r"[^\x00-\x7F]")))
     comps = F.split("a_addr", ",")
     tail = F.array_join(F.slice(comps, F.greatest(F.lit(1), F.size(comps) - (last_components - 1)), F.lit(last_components)), " ")

@@ -225,19 +225,21 @@ SELECT {by}, round(avg({f05('coalesce(tp, 0)', 'coalesce(n, 0)', 'ntrue')}), 6)
 
 @query(f"WITH {V.BEST}, {V.IDS}, {V.TRUTH}, {_tuned('grid AS (SELECT (200 + 25 * i)::BIGINT AS t FROM range(31) r(i))', 'b.prob >= t / 1000::DOUBLE', 't')}")
 def tune_threshold(spark, d):
-    """The whole grid in one pass."""
-    grid = spark.range(31).select((F.col("id") * 25 + 200).alias("t"))
+    """I8: the whole grid in one pass."""
     all_ = V.pairs(spark, d)
-    return rounded(metrics.tune(decide.assign_best(all_), V.truth(all_), V.ids(spark, d), grid, F.col("prob") >= F.col("t") / 1000, ["t"]), "macro_f05")
+    counts = metrics.threshold_counts(decide.assign_best(all_), V.truth(all_), V.ids(spark, d), [(200 + 25 * k) / 1000 for k in range(31)])
+    table = metrics.surface(counts, [(k, k) for k in range(31)])
+    return rounded(table.select((F.col("i").cast("long") * 25 + 200).alias("t"), "macro_f05"), "macro_f05")
 
 
 @query(f"WITH {V.BEST}, {V.IDS}, {V.TRUTH}, {_tuned('grid AS (SELECT 50 + 5 * a.i AS t2, 50 + 5 * b.i AS t3 FROM range(9) a(i), range(9) b(i) WHERE abs(a.i - b.i) <= 2)', 'b.prob >= CASE WHEN src = 2 THEN t2 ELSE t3 END / 100::DOUBLE', 't2, t3')}")
 def tune_by_source(spark, d):
     """I10."""
-    one = spark.range(9).select((F.col("id") * 5 + 50).alias("t2"))
-    grid = one.crossJoin(one.withColumnRenamed("t2", "t3")).where("abs(t2 - t3) <= 10")
     all_ = V.pairs(spark, d)
-    return rounded(metrics.tune(decide.assign_best(all_), V.truth(all_), V.ids(spark, d), grid, F.col("prob") >= F.when(F.col("src") == 2, F.col("t2")).otherwise(F.col("t3")) / 100, ["t2", "t3"]), "macro_f05")
+    counts = metrics.threshold_counts(decide.assign_best(all_), V.truth(all_), V.ids(spark, d), [(50 + 5 * k) / 100 for k in range(9)])
+    table = metrics.surface(counts, [(i, j) for i in range(9) for j in range(9) if abs(i - j) <= 2])
+    at = lambda c: F.col(c).cast("long") * 5 + 50
+    return rounded(table.select(at("i").alias("t2"), at("j").alias("t3"), "macro_f05"), "macro_f05")
 
 
 @query(f"""WITH {V.BEST}, s AS (SELECT q, p, prob FROM best WHERE prob >= 0.9), r AS (SELECT q, p, prob FROM best ANTI JOIN s USING (q) QUALIFY row_number() OVER (PARTITION BY q ORDER BY prob DESC, p) = 1)
@@ -257,7 +259,7 @@ x AS (SELECT 'base' AS rule, * FROM s UNION ALL SELECT 'rescue', * FROM s UNION
 n AS (SELECT rule, x.q, count(gt.p) AS tp, count(*) AS np FROM x LEFT JOIN gt ON gt.q = x.q AND gt.p = x.p GROUP BY ALL)
 SELECT rule, {_HALF}::BIGINT AS half, round(avg({f05('coalesce(tp, 0)', 'coalesce(np, 0)', 'ntrue')}), 6) AS macro_f05 FROM (VALUES ('base'), ('rescue')) v(rule) CROSS JOIN nt LEFT JOIN n USING (rule, q) GROUP BY ALL""")
 def rescue_by_half(spark, d):
-    """The gain of a rule on two halves of the entities."""
+    """A rule's score on two halves of the entities."""
     all_ = V.pairs(spark, d)
     best, truth = decide.assign_best(all_).select("q", "p", "prob"), V.truth(all_)
     base = decide.threshold(best, 0.9)
@@ -376,7 +378,7 @@ def labelled(spark, d) -> DataFrame:
 @query(f"""WITH {V.PAIRS}, {V.TRUTH}, {_LAB}, b AS (SELECT src, y, CASE WHEN prob > 0 AND prob <= 0.1::DOUBLE THEN 0 WHEN prob > 0.1::DOUBLE AND prob <= 0.3::DOUBLE THEN 1 WHEN prob > 0.3::DOUBLE AND prob <= 0.5::DOUBLE THEN 2 WHEN prob > 0.5::DOUBLE AND prob <= 0.8::DOUBLE THEN 3 END::BIGINT AS k FROM lab)
 SELECT src, k AS bin, count(*) AS n, round(avg(y), 6) AS rate FROM b WHERE k IS NOT NULL GROUP BY 1, 2""")
 def binned_rate(spark, d):
-    """I24, G5, G6."""
+    """One binned column by source."""
     return rounded(metrics.binned_rate(labelled(spark, d), "prob", _EDGES, "y", ["src"]), "rate")
 
 
@@ -394,7 +396,7 @@ r AS (SELECT pos, sum(pos) OVER w AS tp, sum(n) OVER w AS al FROM h WINDOW w AS
 l AS (SELECT avg(-CASE WHEN y = 1 THEN ln(c) ELSE ln(1 - c) END) AS logloss, avg((y = (prob >= 0.5)::INT)::INT) AS accuracy FROM (SELECT y, prob, greatest(0.000001::DOUBLE, least(0.999999::DOUBLE, prob)) AS c FROM lab))
 SELECT (SELECT round(sum(pos * tp / al::DOUBLE) / sum(pos), 6) FROM r) AS ap, round(logloss, 6) AS logloss, round(accuracy, 6) AS accuracy FROM l""")
 def ranking_scores(spark, d):
-    """H18, H14."""
+    """H18 over all pairs."""
     x = labelled(spark, d)
     return rounded(metrics.average_precision(x, "prob", "y").crossJoin(metrics.log_loss(x, "prob", "y")), "ap", "logloss", "accuracy")
 
@@ -480,7 +482,7 @@ def pair_sets(spark, d):
 
 @query(f"WITH {V.PAIRS} SELECT q, p, round(CASE WHEN ce8 IS NULL THEN prob ELSE 0.7::DOUBLE * prob + 0.3::DOUBLE * ce8 END, 6) AS prob FROM pairs")
 def blend(spark, d):
-    """H19, H20, F2."""
+    """H19, F2."""
     x = V.pairs(spark, d)
     return rounded(ensemble.blend(x.select("q", "p", "prob"), x.where("ce8 IS NOT NULL").select("q", "p", F.col("ce8").alias("p_ext")), 0.3), "prob")
 
@@ -536,10 +538,10 @@ def density_sample(spark, d):
     return a.select(F.lit("a").alias("side"), F.col("q").alias("id")).unionByName(b.select(F.lit("b").alias("side"), F.col("p").alias("id")))
 
 
-@query(f"WITH {V.PAIRS} SELECT q, p FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY q ORDER BY prob2 DESC, p) <= 8) WHERE prob2 >= 0.1")
+@query(f"WITH {V.PAIRS} SELECT q, p FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY q ORDER BY prob2 DESC, p) <= 8) WHERE prob2 >= 0.01")
 def scoring_candidates(spark, d):
     """H7."""
-    return sampling.candidates_to_score(V.pairs(spark, d), "prob2", 0.1, 8).select("q", "p")
+    return sampling.candidates_to_score(V.pairs(spark, d), "prob2", 0.01, 8).select("q", "p")
 
 
 @query(f"""WITH {V.PAIRS}, {V.TRUTH}, {_LAB}, h AS (SELECT * FROM lab WHERE y = 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY prob DESC, p) <= 6),
@@ -593,7 +595,7 @@ def listwise_loss(spark, d):
 a AS (SELECT id, regexp_replace(replace(replace(list_extract(string_split(s, ' dba '), -1), '&', ' and '), '.', ''), '[^a-z0-9 ]+', ' ', 'g') AS c FROM n)
 SELECT id, array_to_string(list_filter(string_split(c, ' '), lambda x: x <> ''), ' ') AS norm, array_to_string(list_transform(regexp_extract_all(c, '\\d+'), lambda x: regexp_replace(x, '^0+(\\d)', '\\1')), ' ') AS nums, 1::BIGINT AS has_alias FROM a""")
 def name_parts(spark, d):
-    """Id tags, alias clause, symbols, number runs."""
+    """Alias clause, symbols, number runs."""
     raw = F.concat(F.col("p_name"), F.lit(" & Co. dba "), F.col("p_type"), F.lit(" 0"), F.col("p_size").cast("string"))
     x = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower(raw).alias("raw"), F.lit("").alias("ctry"))
     cols = text.name_columns(F.col("raw"), F.col("ctry"), ascii_fn=lambda c: c)
@@ -606,11 +608,11 @@ def name_parts(spark, d):
 
 
 @query("""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+')) AS t FROM documents)
-SELECT t, CASE WHEN length(regexp_replace(t, '[^a-z]', '', 'g')) >= 3 AND length(regexp_replace(t, '[^0-9]', '', 'g')) BETWEEN 1 AND 2 THEN translate(t, '0134578', 'oieastb') ELSE t END AS deleet, regexp_replace(t, '^0+(\\d)', '\\1') AS zeros FROM t WHERE length(t) < 60""")
+SELECT t, CASE WHEN length(regexp_replace(t, '[^a-z]', '', 'g')) >= 3 AND length(regexp_replace(t, '[^0-9]', '', 'g')) BETWEEN 1 AND 2 THEN translate(t, '0134578', 'oieastb') ELSE t END AS deleet, regexp_replace(t, '^0+(\\d)', '\\1') AS zeros FROM t""")
 def token_rules(spark, d):
     """B10, B18, B25 over all tokens of the documents."""
     plain = text.strip_accents(F.col("text"))
-    t = V.table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower(plain), F.lit("[a-z0-9]+"), F.lit(0))).alias("t")).distinct().where("length(t) < 60")
+    t = V.table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower(plain), F.lit("[a-z0-9]+"), F.lit(0))).alias("t")).distinct()
     return t.select("t", text.deleet(F.col("t")).alias("deleet"), text.strip_zeros(F.col("t")).alias("zeros"))
 
 
@@ -649,12 +651,12 @@ def _dots(name, where=""):
 _BLOCK = f"""{V.RECORDS}, {_TERMS}, {_tfidf('nm', 'gr', 0.05)}, {_tfidf('ad', 'wo', 0.3)},
 jo AS (SELECT country, side, id, 'n:' || term AS term, w * sqrt(0.4::DOUBLE) AS w FROM nm UNION ALL SELECT country, side, id, 'a:' || term, w * sqrt(0.6::DOUBLE) FROM ad),
 nd AS {_dots('nm')}, adt AS {_dots('ad')}, jd AS {_dots('jo')},
-un AS (SELECT country, q, p FROM (SELECT * FROM jd WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, p) <= 10) UNION SELECT country, q, p FROM (SELECT * FROM nd WHERE sim > 0.1 QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, p) <= 5)),
+un AS (SELECT country, q, p FROM (SELECT * FROM jd WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, p) <= 40) UNION SELECT country, q, p FROM (SELECT * FROM nd WHERE sim > 0.1 QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, p) <= 10)),
 cands AS (SELECT un.country, un.q, un.p, coalesce(nd.sim, 0) AS name_cos, coalesce(adt.sim, 0) AS addr_cos, round(0.4::DOUBLE * coalesce(nd.sim, 0) + 0.6::DOUBLE * coalesce(adt.sim, 0), 9) AS comb FROM un LEFT JOIN nd ON nd.q = un.q AND nd.p = un.p LEFT JOIN adt ON adt.q = un.q AND adt.p = un.p)"""
 
 
 def _blocked(spark, d):
-    return blocking.block(V.records(spark, d), 10, 5, 0.1)
+    return blocking.block(V.records(spark, d))
 
 
 @query(f"WITH {_BLOCK} SELECT country, q, p, round(name_cos, 6) AS name_cos, round(addr_cos, 6) AS addr_cos, round(comb, 6) AS comb FROM cands")
@@ -677,7 +679,7 @@ def block_with_rescue(spark, d):
 @query(f"""WITH {_BLOCK}, gt AS (SELECT a.id AS q, b.id AS p FROM records a JOIN records b ON a.country = b.country AND a.name_key = b.name_key WHERE a.side = 'a' AND b.side = 'b')
 SELECT round(avg((c.q IS NOT NULL)::INT), 6) AS recall, (SELECT count(*) FROM cands) AS pairs, round(1 - (SELECT count(*) FROM cands) / ((SELECT count(*) FROM records WHERE side = 'a')::DOUBLE * (SELECT count(*) FROM records WHERE side = 'b')), 6) AS reduction FROM gt LEFT JOIN cands c ON c.q = gt.q AND c.p = gt.p""")
 def blocking_recall(spark, d):
-    """C14, C12 (the join runs by country, so countries can be redone alone)."""
+    """C14."""
     n = V.records(spark, d)
     key = lambda s, o: n.where(f"side = '{s}'").select("country", "name_key", F.col("id").alias(o))
     truth = key("a", "q").join(key("b", "p"), ["country", "name_key"]).select("q", "p")
@@ -696,7 +698,7 @@ def _texts(spark, d):
 @query(f"""WITH {_RP} SELECT q, p, (split_part(a.name_key, ' ', 1) = split_part(b.name_key, ' ', 1))::INT::DOUBLE AS n_first_eq, round({_JAC.format(a=toks('a.name_key'), b=toks('b.name_key'))}, 6) AS n_jacc, round({_JAC.format(a=toks('a.addr_norm'), b=toks('b.addr_norm'))}, 6) AS a_jacc,
 (length(b.name_key) - length(a.name_key))::DOUBLE AS n_len_diff FROM rp JOIN records a ON a.id = q JOIN records b ON b.id = p""")
 def token_features(spark, d):
-    """E9, E10, E12, E13, E17, E28, E29."""
+    """E9, E10, E13, E17, E29."""
     x, first = _texts(spark, d), lambda c: F.substring_index(c, " ", 1)
     return rounded(x.select("q", "p", (first("qn") == first("pn")).cast("double").alias("n_first_eq"), strsim.jaccard(text.tokens(F.col("qn")), text.tokens(F.col("pn"))).alias("n_jacc"), strsim.jaccard(text.tokens(F.col("qa")), text.tokens(F.col("pa"))).alias("a_jacc"), (F.length("pn") - F.length("qn")).cast("double").alias("n_len_diff")), "n_jacc", "a_jacc")
 
@@ -722,17 +724,17 @@ _NUM = "nx AS (SELECT q, p, [q::VARCHAR, (p % 1000)::VARCHAR] AS a, [p::VARCHAR,
 (list_bool_or(flatten(list_transform(a, lambda x: list_transform(b, lambda y: x <> y AND least(length(x), length(y)) >= 2 AND (starts_with(x, y) OR starts_with(y, x) OR suffix(x, y) OR suffix(y, x)))))))::INT::DOUBLE AS num_fix,
 round(ln(1 + list_min(flatten(list_transform(list_filter(a, lambda x: length(x) <= 6), lambda x: list_transform(list_filter(b, lambda y: length(y) <= 6), lambda y: abs(x::BIGINT - y::BIGINT)))))::DOUBLE), 6) AS num_house_diff FROM nf""")
 def number_features(spark, d):
-    """E18-E22, E27."""
+    """E18-E20, E22, E27."""
     x = _numbers(spark, d)
     return rounded(x.select("q", "p", *[c.alias(n) for n, c in strsim.number_features(F.col("a"), F.col("b")).items() if n != "post_eq"]), "num_jacc", "num_house_diff")
 
 
 @query()
 def string_features(spark, d):
-    """Sequence kernels, over blocked pairs."""
+    """E1-E30 over blocked candidates of the records (the first words of each text, see views.records)."""
     n = V.records(spark, d)
-    base = n.select("id", F.col("name_key").alias("name_norm"), F.col("name_key").alias("name_core"), "name_key", F.replace("name_key", F.lit(" "), F.lit("")).alias("name_sq"), F.lit("").alias("legal"), "addr_norm", F.array_join(F.regexp_extract_all("addr_norm", F.lit(r"\d+"), F.lit(0)), " ").alias("nums"), *[F.lit(0).alias(c) for c in ("is_domain", "non_ascii", "has_alias")], (F.col("addr_norm") == "").cast("int").alias("addr_empty"))
-    return rec.pair_features(_record_pairs(spark, d), base, base)
+    base = n.select("id", F.col("name_key").alias("name_norm"), F.col("name_key").alias("name_core"), "name_key", F.replace("name_key", F.lit(" "), F.lit("")).alias("name_sq"), F.lit("").alias("legal"), "addr_norm", F.array_join(F.regexp_extract_all("addr_norm", F.lit(r"\d+"), F.lit(0)), " ").alias("nums"), *[F.lit(0).alias(c) for c in ("is_domain", "non_ascii", "has_alias")], (F.col("addr_norm") == "").cast("int").alias("addr_empty"), "src")
+    return rec.pair_features(_blocked(spark, d).select("q", "p"), base, base)
 
 
 @query(f"""WITH {V.RECORDS}, t AS (SELECT id, country, side, unnest(list_filter(string_split(name_key, ' '), lambda x: x <> '')) AS t FROM records), v AS (SELECT DISTINCT country, t FROM t WHERE side = 'a'),
@@ -747,7 +749,7 @@ def unknown_words(spark, d):
 @query(f"""WITH {V.RECORDS}, na AS (SELECT country, name_key, count(*) AS c FROM records WHERE side = 'a' GROUP BY ALL), aa AS (SELECT country, addr_norm, count(*) AS c FROM records WHERE side = 'a' GROUP BY ALL)
 SELECT id, coalesce(na.c, 0) AS b_name_s1_cnt, CASE WHEN r.addr_norm <> '' THEN coalesce(aa.c, 0) END AS b_addr_s1_cnt FROM records r LEFT JOIN na USING (country, name_key) LEFT JOIN aa ON aa.country = r.country AND aa.addr_norm = r.addr_norm WHERE side = 'b'""")
 def key_counts(spark, d):
-    """E32-E34."""
+    """E32."""
     n = V.records(spark, d)
     x = rec.key_counts(n.where("side = 'b'"), n.where("side = 'a'"), "name_key", "b_name_s1_cnt")
     return rec.key_counts(x, n.where("side = 'a'"), "addr_norm", "b_addr_s1_cnt", True).select("id", "b_name_s1_cnt", "b_addr_s1_cnt")
@@ -758,7 +760,7 @@ _SIM = "(1 - abs(({a} * 13) % 101 - ({b} * 13) % 101) / 101::DOUBLE)"
 
 @query(f"""WITH {V.PAIRS}, t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY prob2 DESC, p) AS rk FROM pairs QUALIFY rk <= 6),
 b AS (SELECT i.q, i.p, i.src AS s, j.src AS js, j.prob2 AS jp, j.rk AS jr, {_SIM.format(a='i.p', b='j.p')} AS n, {_SIM.format(a='(i.p + 5)', b='(j.p + 5)')} AS a FROM t i JOIN t j ON i.q = j.q AND i.p <> j.p),
-g AS (SELECT q, p, max(n) AS nm, max(a) AS am, arg_max(jp, n * 1000000 - jr) AS pb, count(*) FILTER (n >= 0.8 OR a >= 0.9) AS ns, sum(jp * greatest(n, a)) AS w, max(n) FILTER (s <> js) AS o FROM b GROUP BY q, p)
+g AS (SELECT q, p, max(n) AS nm, max(a) AS am, arg_max(jp, n * 1000000 - jr) AS pb, count(*) FILTER (n >= 0.8 OR a >= 0.9) AS ns, sum(jp * greatest(n, a)) AS w, max(CASE WHEN s <> js THEN n ELSE 0 END) AS o FROM b GROUP BY q, p)
 SELECT q, p, round(nm, 6) AS sup_name_max, round(am, 6) AS sup_addr_max, round(pb, 6) AS sup_prob_of_best, ns AS sup_n_similar, round(w, 6) AS sup_weighted, round(o, 6) AS sup_other_src_name_max FROM pairs LEFT JOIN g USING (q, p)""")
 def support(spark, d):
     """All-pairs support among the best six of an entity, with a whole-number similarity."""
@@ -798,9 +800,21 @@ def synthetic_pairs(spark, d):
 
 @query()
 def synthetic_world(spark, d):
-    """The pool."""
+    """The pool. Copies as many as true pairs have, decoys of both sources that no record of side a resembles."""
     n = _named(spark, d)
-    return synth.world(n.where("id % 3 = 0").drop("country"), n.where("id % 3 <> 0").drop("country"))[1]
+    own, pool = n.where("id % 3 = 0").drop("country"), n.where("id % 3 <> 0").select(F.col("id").alias("p"), "name", "addr", F.expr("1 + id % 3").alias("src"))
+    known = V.truth(V.pairs(spark, d)).groupBy("q").agg(F.count_if(F.expr("p % 2 = 0")).alias("n2"), F.count_if(F.expr("p % 2 <> 0")).alias("n3"))
+    found = _blocked(spark, d).select("p", F.col("comb").alias("prob"))
+    counts = synth.copy_counts(own.select(F.col("id").alias("q")), known)
+    return synth.world(own, synth.unowned(pool, found, own, 0.02, 0.3), counts)[1]
+
+
+@query()
+def synthetic_french(spark, d):
+    """Noisy French records, the next record's name as the other owner."""
+    n = _named(spark, d).where("country = 'fr'")
+    w = Window.partitionBy(F.floor(F.col("id") / 1000)).orderBy("id")
+    return synth.add_french_noise(n.withColumn("other", F.lead("name").over(w)))
 
 
 @query()

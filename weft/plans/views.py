@@ -70,7 +70,10 @@ TRUTH = """gt AS (
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name and address records from documents: names are the first words, addresses the source and the words after."""
+    """Name and address records from documents: names are a text's first six words, addresses its source and the next four.
+
+    A record is short by its nature, so the queries over records read these words of each text and no more.
+    """
     clean = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9à-öø-ÿß]+", " "), " "), lambda w: w != "")
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", clean.alias("w"))
     return d.select(

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize
+
 RECORD = "entity_id string, business_name string, business_address string, country string"
 
 
@@ -46,21 +51,70 @@ def text_pair(name: Column, addr: Column, country: Column | None = None) -> Colu
     return text if country is None else F.concat(country, F.lit(": "), text)
 
 
-def validate(spark: SparkSession, path: str, required: DataFrame, col: str = "matched_entity_ids", known: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
-    """Violations of a list file: (rule, n, examples); no rows if it is sound.
+def raw_paths(folder: str, split: str) -> dict[str, str]:
+    """Where a split's three sources and its truth lie."""
+    own = f"{folder.rstrip('/')}/{split}/{split}"
+    return {**{f"source{k}": f"{own}_source{k}.tsv" for k in (1, 2, 3)}, "truth": f"{own}_ground_truth.tsv"}
+
+
+def prepare(spark: SparkSession, folder: str, split: str, out: str, translit: DataFrame | None = None) -> None:
+    """Normalise a split's queries and pooled sources, with learnt words if given, and write `out`/{split}_s1 and
+    `out`/{split}_pool as Parquet by country; src of the pool is the id's second character."""
+    p = raw_paths(folder, split)
+    first, pool = read_records(spark, p["source1"], p["source2"], p["source3"])
+    for name, rows in (("s1", first), ("pool", pool)):
+        normalize(rows, translit=translit).write.mode("overwrite").partitionBy("country").parquet(f"{out.rstrip('/')}/{split}_{name}")
+
+
+def load_prepared(spark: SparkSession, out: str, split: str) -> tuple[DataFrame, DataFrame]:
+    """The tables that prepare wrote; a filter on country reads that folder alone."""
+    return tuple(spark.read.parquet(f"{out.rstrip('/')}/{split}_{name}") for name in ("s1", "pool"))
+
+
+def replace_countries(spark: SparkSession, new: DataFrame, path: str) -> None:
+    """Write a table's countries anew, and no other country's folder: dynamic overwrite of partitions."""
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("country").parquet(path)
+
+
+def save_dictionary(table: DataFrame, path: str) -> None:
+    """A dictionary (src, dst) as JSON lines."""
+    table.select("src", "dst").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst) from JSON lines, or from one JSON object of src: dst."""
+    lines = spark.read.text(path, wholetext=False)
+    rows = lines.select(F.from_json("value", "src string, dst string").alias("r")).select("r.*").where("src IS NOT NULL")
+    if not rows.isEmpty():
+        return rows
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("src", "dst"))
+    return whole
+
+
+def write_report(spark: SparkSession, values: dict, path: str) -> None:
+    """A report of plain values as one JSON line."""
+    spark.createDataFrame([(json.dumps(values, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
-    Rules: header, malformed row, duplicate row, duplicate id in a list, self match, bad prefix, unknown id (with known),
-    missing id, extra id; and, as a warning, matches outside of candidates. required and known: id; candidates: q, p.
+
+def read_report(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
+
+
+EXAMPLES = 5
+
+
+def violations(body: DataFrame, required: DataFrame, known: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """(rule, n, examples) of the lines (column line) below a list file's header; no rows if they are sound.
+
+    Rules: malformed row, duplicate row, duplicate id in a list, self match, bad prefix, unknown id (with known), missing
+    id, extra id; and, as a warning, matches outside of candidates. required and known: id; candidates: q, p. Examples are
+    the first five in order; each task keeps no more.
     """
-    lines = spark.read.text(path, wholetext=False).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
-    header = spark.createDataFrame([(f"source1_entity_id\t{col}",)], "want string")
-    first = lines.agg(F.min_by("line", "at").alias("line"), F.min("at").alias("at"))
-    body = lines.join(F.broadcast(first.select(F.col("at").alias("_first"))), F.col("at") != F.col("_first")).where("line <> ''").withColumn("f", F.split("line", "\t"))
-    rows = body.where(F.size("f") == 2).select(F.get("f", 0).alias("q"), F.filter(F.split(F.get("f", 1), ","), lambda x: x != "").alias("ids"))
+    fields = body.where("line <> ''").withColumn("f", F.split("line", "\t"))
+    rows = fields.where(F.size("f") == 2).select(F.get("f", 0).alias("q"), F.filter(F.split(F.get("f", 1), ","), lambda x: x != "").alias("ids"))
     each = rows.select("q", F.explode("ids").alias("p"))
     found = [
-        ("header", first.crossJoin(F.broadcast(header)).where("NOT line <=> want").select(F.coalesce("line", F.lit("")).alias("x"))),
-        ("malformed row", body.where(F.size("f") != 2).select(F.col("line").alias("x"))),
+        ("malformed row", fields.where(F.size("f") != 2).select(F.col("line").alias("x"))),
         ("duplicate row", rows.groupBy("q").count().where("count > 1").select(F.col("q").alias("x"))),
         ("duplicate id", each.groupBy("q", "p").count().where("count > 1").select(F.concat_ws(":", "q", "p").alias("x"))),
         ("self match", each.where("q = p").select(F.col("q").alias("x"))),
@@ -72,12 +126,19 @@ def validate(spark: SparkSession, path: str, required: DataFrame, col: str = "ma
         found.append(("unknown id", each.join(known.select(F.col("id").alias("p")), "p", "left_anti").select(F.col("p").alias("x"))))
     if candidates is not None:
         found.append(("warning: not a candidate", each.join(candidates.select("q", "p"), ["q", "p"], "left_anti").select(F.concat_ws(":", "q", "p").alias("x"))))
-    out = None
-    for rule, bad in found:
-        # counts and two examples are combined task by task: never the whole set of violations in one place
-        part = bad.groupBy(F.spark_partition_id().alias("_p")).agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most")).agg(F.sum("n").alias("n"), F.min("least").alias("a"), F.max("most").alias("b"))
-        part = part.where("n > 0").select(F.lit(rule).alias("rule"), "n", F.array_distinct(F.array("a", "b")).alias("examples"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, [_counted(rule, bad) for rule, bad in found])
+
 
+def _counted(rule: str, bad: DataFrame) -> DataFrame:
+    some = bad.orderBy("x").limit(EXAMPLES).agg(F.array_sort(F.collect_list("x")).alias("examples"))
+    return bad.agg(F.count("*").alias("n")).where("n > 0").crossJoin(F.broadcast(some)).select(F.lit(rule).alias("rule"), "n", "examples")
 
+
+def validate(spark: SparkSession, path: str, required: DataFrame, col: str = "matched_entity_ids", known: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """Violations of a list file, its header and the lines below: (rule, n, examples); no rows if it is sound."""
+    lines = spark.read.text(path, wholetext=False).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    header = spark.createDataFrame([(f"source1_entity_id\t{col}",)], "want string")
+    first = lines.agg(F.min_by("line", "at").alias("line"), F.min("at").alias("at"))
+    body = lines.join(F.broadcast(first.select(F.col("at").alias("_first"))), F.col("at") != F.col("_first")).select("line")
+    wrong = first.crossJoin(F.broadcast(header)).where("NOT line <=> want").select(F.coalesce("line", F.lit("")).alias("x"))
+    return _counted("header", wrong).unionByName(violations(body, required, known, candidates))
