@@ -153,8 +153,14 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
 
 def prefix_size(n: int, least: float) -> int:
-    """Of two sets with a Jaccard similarity of `least` or more, so many of the smallest hashes of each share one."""
-    return n - math.ceil(least * n - 1e-9) + 1 if n else 0
+    """Of two sets with a Jaccard similarity of `least` or more, so many of the smallest hashes of each share one.
+
+    That is certain for all but least * n of a set's n hashes. But each of the smallest k hashes of the union is in both sets
+    with a chance of `least`, whatever the sets, and all k miss with (1 - least) ** k: from the k on where that is below
+    2 ** -64, the chance that two different shingles share a hash, more hashes add nothing.
+    """
+    enough = math.ceil(64 * math.log(2) / -math.log(1 - least)) if least < 1 else 1
+    return min(n - math.ceil(least * n - 1e-9) + 1, enough) if n else 0
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
@@ -209,7 +215,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are told apart by the id and th, a hash of the text; kept marks the least of them in each component (a null id
     comes first), rows that repeat both alike.
 
-    Candidates share one of the smallest hashes (prefix_size: this loses nothing), differ little enough in size, and
+    Candidates share one of the smallest hashes (prefix_size: this loses no more than hashing does), differ little enough in size, and
     have fingerprints within radius of 128 bits; their sets are then compared. First each text meets one text of each hash
     it has, so that large groups of copies are linked by few comparisons; then those that are not yet connected meet.
     """
