@@ -146,6 +146,51 @@ def test_licenses(spark, docs):
     assert licenses.license_spans(empty(spark)).count() == 0
 
 
+def test_licenses_short_templates_and_places():
+    index = licenses.Index({"one": "Unlicense", "two": "Public domain", "three": "all rights reserved"})
+    text = "İİİİ free Unlicense, PUBLIC domain; all rights reserved"
+    assert [(t, text[a:b]) for t, _, _, a, b in licenses.scan(text, index, 0.8)] == [("one", "Unlicense"), ("two", "PUBLIC domain"), ("three", "all rights reserved")]
+    assert licenses.scan("domain public", index, 0.8) == []
+
+
+def test_licenses_found_where_brute_force_finds_them():
+    rng = np.random.default_rng(21)
+    vocabulary = list("abcdefgh")
+    for _ in range(60):
+        templates = {str(k): " ".join(rng.choice(vocabulary, int(rng.integers(1, 9)))) for k in range(3)}
+        index = licenses.Index(templates)
+        doc = rng.choice([*vocabulary, "x", "y", "z", "w"], 30).tolist()
+        name = str(rng.integers(3))
+        own = templates[name].split()
+        if rng.random() < 0.7:
+            at = int(rng.integers(0, 20))
+            doc[at : at + len(own)] = [w if rng.random() < 0.9 else "q" for w in own]
+        got = {r[0] for r in licenses.scan(" ".join(doc), index, 0.8)}
+        for n, t in templates.items():
+            t = t.split()
+            size = len(t) + 2 * licenses.band_of(len(t))
+            best = max(plain_lcs(t, doc[k : k + size]) for k in range(-size, len(doc)) if k >= 0)
+            if n in got:
+                assert best >= 0.8 * len(t)
+            elif max(plain_lcs(t, doc[k : k + len(t)]) for k in range(len(doc))) >= 0.8 * len(t):
+                raise AssertionError((n, t, doc))
+
+
+def plain_lcs(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    return t[-1][-1]
+
+
+def test_toxic_spans_are_those_of_the_text():
+    model = toxicity.Model({"vile": (9.0, 3.0)}, fit=(-3.0, 2.0, 2.0))
+    text = "İİİİİİİİİİ it is a Vile vile thing"
+    _, _, found = model.evidence(model.scores(text))
+    assert [text[a:b] for a, b, _ in toxicity.spans(text, found)] == ["Vile vile"]
+
+
 def test_licenses_edited_short_notices():
     index = licenses.Index(licenses.TEMPLATES)
     found = licenses.scan("It is Released under an MIT License now", index, 0.8)

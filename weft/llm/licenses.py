@@ -7,7 +7,8 @@ leave no such stretch, so windows that hold enough words of a template are candi
 Reported: each stretch that covers at least `coverage` of a template, with its span in characters.
 
 Null and empty texts give no rows; templates shorter than K words are one run; repeated rows give repeated reports, and
-an empty table none. Overlapping reports of one template are told apart by their first word. Other columns are not read.
+an empty table none. Overlapping reports of one template are told apart by their first word; of equal alignments the one
+that begins first is reported. Very long texts are read whole. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,40 +41,46 @@ TEMPLATES = {
 }
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased words; split first, as lower case may be longer than the text that spans refer to."""
+    return [w.lower() for w in WORD.findall(text)]
+
+
 class Index:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
-        self.words = [WORD.findall(templates[n].lower()) for n in self.names]
+        self.words = [words_of(templates[n]) for n in self.names]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in self.words for w in ws}))}
         self.ids = [np.array([self.vocabulary[w] for w in ws], np.int64) for ws in self.words]
-        self.grams: dict[int, list[tuple[int, int]]] = {}
-        self.base = len(self.vocabulary) + 1
+        self.grams: dict[tuple[int, ...], list[tuple[int, int]]] = {}  # by the words of the run, so lengths never mix
         self.member = np.zeros((len(self.ids), len(self.vocabulary) + 1), bool)  # the last column is the word -1
         for t, ids in enumerate(self.ids):
             self.member[t, ids] = True
             runs = self.runs(ids)
-            order = [xxhash.xxh64_intdigest(int(r).to_bytes(16, "little")) for r in runs]
+            order = [xxhash.xxh64_intdigest(np.array(r, np.int64).tobytes()) for r in runs]
             chosen = {min(range(a, min(a + WINDOW, len(runs))), key=lambda k: (order[k], -k)) for a in range(max(1, len(runs) - WINDOW + 1))} if runs else set()
             for k in chosen:
                 self.grams.setdefault(runs[k], []).append((t, k))
 
-    def runs(self, ids: np.ndarray) -> list[int]:
-        n = min(K, len(ids))
-        return [sum(int(x) * self.base**p for p, x in enumerate(ids[k : k + n])) for k in range(len(ids) - n + 1)] if n else []
+    def runs(self, ids: np.ndarray) -> list[tuple[int, ...]]:
+        n, own = min(K, len(ids)), ids.tolist()
+        return [tuple(own[k : k + n]) for k in range(len(own) - n + 1)] if n else []
 
     def hits(self, doc: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """template -> [(place in document, place in template)]; -1 in doc is a word of no template."""
         out: dict[int, list[tuple[int, int]]] = {}
-        if len(doc) < K:
-            return out
-        known = doc >= 0
-        both = known[:-2] & known[1:-1] & known[2:]
-        for at in np.nonzero(both)[0].tolist():
-            for t, k in self.grams.get(int(doc[at]) + int(doc[at + 1]) * self.base + int(doc[at + 2]) * self.base**2, ()):
-                out.setdefault(t, []).append((at, k))
+        known, own = doc >= 0, doc.tolist()
+        for n in sorted({len(g) for g in self.grams}):
+            if len(own) < n:
+                continue
+            full = known[: len(own) - n + 1].copy()
+            for k in range(1, n):
+                full &= known[k : len(own) - n + 1 + k]
+            for at in np.nonzero(full)[0].tolist():
+                for t, k in self.grams.get(tuple(own[at : at + n]), ()):
+                    out.setdefault(t, []).append((at, k))
         return out
 
-
     def windows(self, doc: np.ndarray, coverage: float) -> dict[int, np.ndarray]:
         """template -> starts of the windows of its length and two bands in which enough words are of the template."""
         out = {}
@@ -147,7 +154,7 @@ def _between(ids: np.ndarray, doc: np.ndarray, starts: np.ndarray, coverage: flo
 def scan(text: str, index: Index, coverage: float) -> list[tuple[str, float, int, int, int]]:
     """(template, coverage, matched words, start, end) in order of place."""
     get = index.vocabulary.get
-    doc = np.fromiter((get(w, -1) for w in WORD.findall(text.lower())), np.int64)
+    doc = np.fromiter((get(w, -1) for w in words_of(text)), np.int64)
     found, taken = [], {}
     for t, hits in sorted(index.hits(doc).items()):
         ids, done = index.ids[t], -1
@@ -163,7 +170,7 @@ def scan(text: str, index: Index, coverage: float) -> list[tuple[str, float, int
                 done = low + end
     for t, starts in index.windows(doc, coverage).items():
         found += [(t, *r) for r in _between(index.ids[t], doc, starts, coverage, taken.get(t, []))]
-    places = [p.span() for p in WORD.finditer(text.lower())] if found else []
+    places = [p.span() for p in WORD.finditer(text)] if found else []
     out = [(index.names[t], matched / len(index.ids[t]), matched, places[a][0], places[b - 1][1]) for t, matched, a, b in found]
     return sorted(out, key=lambda r: (r[3], r[0]))
 
