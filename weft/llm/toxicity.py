@@ -11,7 +11,10 @@ segment of n tokens follows an extreme-value law, so a segment of score S has th
 Only labels, and only of at most `sample` labelled rows (chosen by a hash of the id), are learnt from; three in four
 give the weights, the rest the logistic fit; copies of a text are learnt from once. Null labels are left out, repeated labels count by their greatest. Null
 and empty texts have no tokens and score as documents without evidence. Without toxic labels every score is 0.
-Repeated rows score alike; an empty table gives no rows; columns other than those named are not read.
+Repeated rows score alike; an empty table gives no rows; columns other than those named are not read, whatever their
+names. Very long texts are scored whole; of equal features of a token the last in score counts, of equal segments the
+first. K is taken as a tenth of lambda times the gain a token, and a thousandth at least: it only shifts all evidence, and
+the logistic fit takes the shift back.
 """
 
 from __future__ import annotations
@@ -33,6 +36,15 @@ PREFIX = range(4, 9)  # Model.heads needs 4 at least
 SAMPLE, LEAST_Z, LEAST_ODDS, DRIFT, MOST_SCORE, PRIOR = 20_000, 3.5, 1.5, -0.05, 4.0, 50.0
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased tokens. Where lower case has another length (a dotted capital I), tokens are split before, so that their
+    places are those of the text."""
+    if not text:
+        return []
+    low = text.lower()
+    return TOKEN.findall(low) if len(low) == len(text) else [w.lower() for w in TOKEN.findall(text)]
+
+
 def features(word: str):
     yield word
     for k in PREFIX:
@@ -68,7 +80,7 @@ class Model:
         self.rate, self.log_k = karlin(np.where(s > 0, s, self.drift), counts)
 
     def scores(self, text: str | None) -> np.ndarray:
-        words = TOKEN.findall(text.lower()) if text else []
+        words = words_of(text)
         out, heads = np.full(len(words), self.drift), self.heads
         at = [k for k, w in enumerate(words) if w[:4] in heads]
         if at:
@@ -111,7 +123,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 def spans(text: str, found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     """Character spans of the segments of a text."""
-    places = [m.span() for m in TOKEN.finditer(text.lower())] if found else []
+    places = [m.span() for m in TOKEN.finditer(text)] if found else []
     return [(places[a][0], places[b - 1][1], e) for a, b, e in found]
 
 
@@ -160,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         held = {(y, k): Counter() for y in (0, 1) for k in (0, *PREFIX)}
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                y, found = int(y > 0), set(TOKEN.findall((t or "").lower()))
+                y, found = int(y > 0), set(words_of(t))
                 held[y, 0].update(found)
                 for k in PREFIX:
                     held[y, k].update({w[:k] for w in found if len(w) > k})
