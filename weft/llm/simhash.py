@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, components, fresh, local_roots
 
 CHUNK, GROUP = 4096, 4
+#: So many ids, 8 bytes each, are broadcast at most; more are joined.
+FEW = 500_000
 #: From the hash of a shingle to another one.
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -186,7 +188,9 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, least: float)
 
 def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
     """Those of pairs (a, b) of keys whose sets of shingles have a Jaccard similarity of `least` or more."""
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(ids, "key").select("id").distinct()
+    wanted = checkpoint(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(ids, "key").select("id").distinct())
+    if wanted.count() <= FEW:  # then no text is shuffled
+        wanted = F.broadcast(wanted)
 
     def sets(batches):
         for b in batches:
