@@ -4,15 +4,20 @@ On unit vectors cosine >= t is a Euclidean distance of at most sqrt(2 - 2t). Equ
 multiplicity; each label is cut into blocks around pivots, block pairs are pruned by their covering radii, and the
 blocks that remain are compared by walking two cover trees (nested levels, halving radii) together: a pair of nodes is
 dropped when the distance of its centres exceeds both covering radii plus the threshold. Distances that remain at the
-leaves are settled by the cosine in double precision. Pivots are the only broadcast; max_pivots bounds them.
+leaves are settled by the cosine in double precision. Pivots go to all tasks; there are max_pivots of them at most. A
+label of at most `block` vectors, or one without a sampled pivot, is one cell. In many dimensions distances between
+unlike vectors are much the same, so radii prune little, and the cost is that of all pairs within a label.
 
 Null labels, null or empty or zero vectors, and vectors with null or non-finite components link with nothing and are
-their own component. Repeated rows link with each other; an empty table gives no rows; other columns are not read.
+their own component. Repeated rows link with each other; an empty table gives no rows; other columns are not read, whatever
+their names. Equal vectors are ties and share the least id. Very long vectors make blocks larger: `block` bounds their number.
 Vectors of different lengths within a label never link.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,13 +27,15 @@ from .common import checkpoint, components, local_roots
 
 
 class CoverTree:
-    """Nested levels over the rows of x (unit vectors): radius 2 / 2**k at level k; a node's radius is measured."""
+    """Nested levels over the rows of x (unit vectors): radius 2 / 2**k at level k; a node's radius is measured.
+
+    Built from distances to centres alone: each centre looks at those of its parent's rows that no centre before it took.
+    """
 
     def __init__(self, x: np.ndarray, least: float):
-        self.x, gram = x, x @ x.T
-        dist = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * gram))
+        self.x = x
         members = [np.arange(len(x))]
-        centres, radii, self.levels = np.zeros(1, int), np.array([dist[0].max()]), []
+        centres, radii, self.levels = np.zeros(1, int), np.array([self._far(0, members[0]).max()]), []
         r = 2.0
         while True:
             kids, cs, rs, ms = [], [], [], []
@@ -38,8 +45,9 @@ class CoverTree:
                 left = own
                 at = centre  # nested: a centre stays one
                 while len(left):
-                    d = dist[at, left]
+                    d = self._far(at, left)
                     inside = d <= r
+                    inside |= left == at
                     cs.append(at)
                     ms.append(left[inside])
                     rs.append(d[inside].max(initial=0.0))
@@ -53,6 +61,18 @@ class CoverTree:
         self.levels.append((centres, radii, None))
         self.members = members
 
+    def _far(self, at: int, rows: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (self.x[rows] @ self.x[at])))
+
+    def dump(self, ids: np.ndarray, m: np.ndarray) -> bytes:
+        return pickle.dumps((self.x, self.levels, self.members, ids, m), protocol=5)
+
+    @classmethod
+    def load(cls, raw: bytes) -> tuple["CoverTree", np.ndarray, np.ndarray]:
+        tree = cls.__new__(cls)
+        tree.x, tree.levels, tree.members, ids, m = pickle.loads(raw)
+        return tree, ids, m
+
 
 def _distances(a: CoverTree, b: CoverTree, ca, cb, i, j) -> np.ndarray:
     """Centre distances of the node pairs (i, j); by one product where most pairs are asked for."""
@@ -95,6 +115,11 @@ def dual_pairs(a: CoverTree, b: CoverTree, cosine: float) -> tuple[np.ndarray, n
     return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Lists of one length as rows."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
 def _unit(vectors) -> np.ndarray:
     x = np.array(vectors, dtype=np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
@@ -111,7 +136,7 @@ def near_embeddings(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     # Pivots: a bounded hash sample, only within labels over a block long. Their cells are cut further by salt below.
     large = classes.groupBy("label").count().where(F.col("count") > block)
     share = min(1.0, min(max_pivots, total / block + 1) / max(1, total))
-    chosen = classes.join(large, "label").where(F.xxhash64("rep", F.lit(7)).bitwiseAND(F.lit((1 << 30) - 1)) < F.lit(int(share * (1 << 30)))).orderBy(F.xxhash64("rep", F.lit(7))).limit(2 * max_pivots).select("label", "rep", "v").collect()
+    chosen = classes.join(large, "label").where(F.xxhash64("rep", F.lit(7)).bitwiseAND(F.lit((1 << 30) - 1)) < F.lit(int(share * (1 << 30)))).orderBy(F.xxhash64("rep", F.lit(7))).limit(max_pivots).select("label", "rep", "v").collect()
     pivots: dict = {}
     for r in chosen:
         pivots.setdefault(r.label, []).append(r.v)
@@ -119,23 +144,31 @@ def near_embeddings(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
 
     def assign(batches):
         for b in batches:
-            labels, vs, cell, far = b.column("label").to_pylist(), b.column("v").to_pylist(), [], []
-            for label, x in zip(labels, vs):
-                if label in pivots:
-                    d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots[label] @ _unit([x])[0])))
-                    cell.append(int(d.argmin()))
-                    far.append(float(d.min()))
-                else:
-                    cell.append(-1)
-                    far.append(2.0)
-            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("rep"), b.column("m"), b.column("v"), pa.array(cell, pa.int32()), pa.array(far, pa.float64())], names=["label", "rep", "m", "v", "cell", "far"])
+            labels = np.array(b.column("label").to_pylist(), object)
+            cell, far = np.full(b.num_rows, -1, np.int32), np.full(b.num_rows, 2.0)
+            for label in set(labels.tolist()) & pivots.keys():
+                at = np.flatnonzero(labels == label)
+                dot = _unit(_matrix(b.column("v").take(pa.array(at)))) @ pivots[label].T
+                cell[at], far[at] = dot.argmax(axis=1), np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dot.max(axis=1)))
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("rep"), b.column("m"), b.column("v"), pa.array(cell), pa.array(far)], names=["label", "rep", "m", "v", "cell", "far"])
 
     cells = checkpoint(classes.select("label", "rep", "m", "v").mapInArrow(assign, "label string, rep long, m long, v array<double>, cell int, far double"))
     sizes = cells.groupBy("label", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
     blocks = cells.join(sizes.select("label", "cell", F.ceil(F.col("n") / block).alias("parts")), ["label", "cell"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    blocks = checkpoint(blocks.groupBy("label", "cell", "salt").agg(F.collect_list(F.struct("rep", "m", "v")).alias("rows")))
+    blocks = blocks.groupBy("label", "cell", "salt").agg(F.collect_list("rep").alias("reps"), F.collect_list("m").alias("ms"), F.flatten(F.collect_list("v")).alias("vs"))
+    least = np.sqrt(max(0.0, 2 - 2 * cosine)) / 4
+
+    def build(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                ids, m = (b.column(c)[k].values.to_numpy() for c in ("reps", "ms"))
+                tree = CoverTree(_unit(b.column("vs")[k].values.to_numpy().reshape(len(ids), -1)), least)
+                yield pa.RecordBatch.from_arrays([b.column(c).slice(k, 1) for c in ("label", "cell", "salt")] + [pa.array([tree.dump(ids, m)], pa.binary())], names=["label", "cell", "salt", "tree"])
+
+    # Each block's tree is built once and kept; block pairs meet as trees.
+    trees = checkpoint(blocks.mapInArrow(build, "label string, cell int, salt int, tree binary"))
     # Cell pairs that the covering radii leave: pivots are bounded, so these are too.
-    radius = {(r.label, r.cell): r.radius for r in sizes.join(F.broadcast(large.select("label")), "label", "left_semi").where("cell >= 0").collect()}
+    radius = {(r.label, r.cell): r.radius for r in sizes.join(large.select("label"), "label", "left_semi").where("cell >= 0").collect()}
     reach, near = np.sqrt(2 - 2 * cosine) + 1e-7, []
     for label, p in pivots.items():
         rad = np.array([radius.get((label, c), -9.0) for c in range(len(p))])
@@ -144,14 +177,14 @@ def near_embeddings(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     spark = table.sparkSession
     own = sizes.where("cell < 0").select("label", F.col("cell").alias("cell"), F.col("cell").alias("other"))
     pairs = own.unionByName(spark.createDataFrame(near, "label string, cell int, other int")) if near else own
-    left = blocks.select("label", "cell", F.col("salt").alias("sa"), F.col("rows").alias("x"))
-    right = blocks.select("label", F.col("cell").alias("other"), F.col("salt").alias("sb"), F.col("rows").alias("y"))
+    left = trees.select("label", "cell", F.col("salt").alias("sa"), F.col("tree").alias("x"))
+    right = trees.select("label", F.col("cell").alias("other"), F.col("salt").alias("sb"), F.col("tree").alias("y"))
     work = left.join(pairs, ["label", "cell"]).join(right, ["label", "other"]).where((F.col("cell") != F.col("other")) | (F.col("sa") <= F.col("sb"))).select("x", "y", ((F.col("cell") == F.col("other")) & (F.col("sa") == F.col("sb"))).alias("self")).repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def traverse(batches):
         for p in batches:
             for k in range(p.num_rows):
-                yield from _links(p.column(0)[k].as_py(), p.column(1)[k].as_py(), p.column(2)[k].as_py(), cosine)
+                yield from _links(p.column(0)[k].as_buffer(), p.column(1)[k].as_buffer(), p.column(2)[k].as_py(), cosine)
 
     found = checkpoint(work.mapInArrow(traverse, "rep long, links long, root long"))
     count = classes.select("rep", (F.col("m") - 1).alias("links")).unionByName(found.where("links > 0").select("rep", "links")).groupBy("rep").agg(F.sum("links").alias("links"))
@@ -163,18 +196,20 @@ def near_embeddings(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), c.alias("component_id"), (F.col("id") == c).alias("kept"))
 
 
-def _links(x: list, y: list, same: bool, cosine: float):
-    """Link counts, by multiplicity, and a spanning forest for two blocks of rows."""
-    ids = np.array([r["rep"] for r in x] + ([] if same else [r["rep"] for r in y]))
-    m = np.array([r["m"] for r in x] + ([] if same else [r["m"] for r in y]))
-    a = CoverTree(_unit([r["v"] for r in x]), np.sqrt(2 - 2 * cosine) / 4)
-    b = a if same else CoverTree(_unit([r["v"] for r in y]), np.sqrt(2 - 2 * cosine) / 4)
+def _links(x: bytes, y: bytes, same: bool, cosine: float):
+    """Link counts, by multiplicity, and a spanning forest for two blocks' trees."""
+    a, ids, m = CoverTree.load(x)
+    n = len(ids)
+    b = a
+    if not same:
+        b, ids_b, m_b = CoverTree.load(y)
+        ids, m = np.concatenate([ids, ids_b]), np.concatenate([m, m_b])
     i, j = dual_pairs(a, b, cosine)
     if same:
         keep = i < j
         i, j = i[keep], j[keep]
     else:
-        j = j + len(x)
+        j = j + n
     if not len(i):
         return
     count = np.bincount(i, m[j], len(ids)).astype(np.int64) + np.bincount(j, m[i], len(ids)).astype(np.int64)
