@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from weft.llm import binary, chunks, covertree, decontam, extract, licenses, packing, queries, simhash, suffix, toxicity
+from weft.llm import binary, chunks, covertree, dcover, decontam, extract, licenses, packing, queries, simhash, suffix, toxicity
 from weft.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, id long, t string, h long, name string, n long"
@@ -613,3 +613,21 @@ def test_pipeline(spark, docs, tmp_path):
     assert {r.doc_id for r in rows} == kept[3].keys()
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     assert sum(r.length for r in rows) == sum(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for t in kept[3].values())
+
+
+@pytest.mark.parametrize("n,kinds", [(1, 1), (4, 2), (60, 2), (61, 1), (200, 3), (401, 2)])
+def test_distributed_suffix_sort(spark, n, kinds):
+    s = np.random.default_rng(n).integers(1, kinds + 1, n).tolist()
+    df = spark.createDataFrame([(k, int(c)) for k, c in enumerate(s)], "pos long, c long").repartition(3)
+    got = [r.pos for r in sorted(dcover.ranks(df, n, 40).collect(), key=lambda r: r["rank"])]
+    assert got == sorted(range(n), key=lambda k: s[k:])
+
+
+def test_distributed_repeats(spark):
+    rng = np.random.default_rng(5)
+    passage = sentence(rng, 12)
+    texts = [sentence(rng, 8) + passage, None, "", passage + sentence(rng, 6), sentence(rng, 10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    seen = Counter(t.encode()[k : k + 40] for t in texts if t for k in range(len(t) - 39))
+    want = {(d, k) for d, t in enumerate(texts) if t for k in range(len(t) - 39) if seen[t.encode()[k : k + 40]] > 1}
+    assert {tuple(r) for r in dcover.repeated(df, length=40, small=60).collect()} == want and want
