@@ -84,6 +84,16 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+#: So many rows of a few ids and hashes are broadcast at most, some 20 MB; more are joined by a shuffle.
+FEW = 500_000
+
+
+def few(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpointed table of ids and hashes, to be broadcast if it has at most FEW rows, and its number of rows."""
+    n = df.count()
+    return (F.broadcast(df) if n <= FEW else df), n
+
+
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest index of the component of each of n nodes under the edges (i, j)."""
     root = np.arange(n)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh
+from .common import checkpoint, few, fresh
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")  # after lower-casing; bytes of UTF-8 above 7F are all word bytes
 LOWER = np.arange(256, dtype=np.uint8)
@@ -236,6 +236,6 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 def keep_clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 13, percent: int = 5) -> DataFrame:
     """The rows, all columns, that are not contaminated. Rows of one id are told apart by their texts' hashes."""
     own = fresh(docs.columns, "id", "th")
-    bad = found(docs, bench, id_col, text_col, item_col, item_text, size).where(contaminated(percent)).select(F.col("id").alias(own[0]), F.col("th").alias(own[1])).distinct()
+    bad, _ = few(checkpoint(found(docs, bench, id_col, text_col, item_col, item_text, size).where(contaminated(percent)).select(F.col("id").alias(own[0]), F.col("th").alias(own[1])).distinct()))
     same = docs[id_col].eqNullSafe(bad[own[0]]) & (F.xxhash64(docs[text_col].cast("string")) == bad[own[1]])
     return docs.join(bad, same, "left_anti")

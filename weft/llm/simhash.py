@@ -22,11 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, fresh, local_roots
+from .common import checkpoint, components, few, fresh, local_roots
 
 CHUNK, GROUP = 4096, 4
-#: So many ids, 8 bytes each, are broadcast at most; more are joined.
-FEW = 500_000
 #: From the hash of a shingle to another one.
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -189,8 +187,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, least: float)
 def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
     """Those of pairs (a, b) of keys whose sets of shingles have a Jaccard similarity of `least` or more."""
     wanted = checkpoint(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(ids, "key").select("id").distinct())
-    if wanted.count() <= FEW:  # then no text is shuffled
-        wanted = F.broadcast(wanted)
+    wanted, _ = few(wanted)  # where they are few, no text is shuffled
 
     def sets(batches):
         for b in batches:
@@ -275,7 +272,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = near_copies(docs, id_col, text_col, width, least).groupBy(F.col(id_col).alias(one), F.col("th").alias(th)).agg(F.count("*").alias(n), F.max("kept").alias("kept"))
     other = checkpoint(marked.where(f"NOT kept OR {n} > 1"))  # all but the single rows that stay
     same = lambda x: docs[id_col].cast("long").eqNullSafe(x[one]) & (F.xxhash64(docs[text_col].cast("string")) == x[th])
+    twice, n_twice = few(checkpoint(other.where("kept").select(one, th)))
+    other, _ = few(other)
     single = docs.join(other, same(other), "left_anti")
-    twice = other.where("kept").select(one, th)
+    if not n_twice:
+        return single.select(*names)
     rows = docs.join(twice, same(twice)).groupBy(one, th).agg(F.min_by(F.struct(*[F.col(c) for c in names]), F.to_json(F.struct(*[F.col(c) for c in names]))).alias("row"))
     return single.select(*names).unionByName(rows.select("row.*"))
