@@ -57,7 +57,7 @@ def surface(counts: DataFrame, settings: list[tuple[int, int]], by: list[str] =
     Settings are exploded beside their sums, so they are added up before anything is shuffled.
     """
     codes = F.split(F.lit(",".join(str(1000 * i + j) for i, j in settings)), ",")  # one constant, however many settings
-    x = counts.withColumn("_s", F.explode(codes).cast("int")).withColumns({"s": F.struct(F.floor(F.col("_s") / 1000).cast("int").alias("i"), (F.col("_s") % 1000).alias("j"))})
+    x = counts.withColumn("_s", F.explode(codes)).withColumn("_s", F.col("_s").cast("int")).withColumn("s", F.struct(F.floor(F.col("_s") / 1000).cast("int").alias("i"), (F.col("_s") % 1000).alias("j")))
     at = lambda c, k: F.element_at(c, F.col(f"s.{k}") + 1)
     f = f05(at("tp2", "i") + at("tp3", "j"), at("n2", "i") + at("n3", "j"), F.col("ntrue"))
     return x.select(*by, F.col("s.i").alias("i"), F.col("s.j").alias("j"), f.alias("f")).groupBy(*by, "i", "j").agg(F.round(F.avg("f"), 9).alias("macro_f05"))
