@@ -615,7 +615,7 @@ def test_pipeline(spark, docs, tmp_path):
     assert sum(r.length for r in rows) == sum(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for t in kept[3].values())
 
 
-@pytest.mark.parametrize("n,kinds", [(1, 1), (4, 2), (60, 2), (61, 1), (200, 3), (401, 2)])
+@pytest.mark.parametrize("n,kinds", [(4, 2), (61, 1), (301, 2)])
 def test_distributed_suffix_sort(spark, n, kinds):
     s = np.random.default_rng(n).integers(1, kinds + 1, n).tolist()
     df = spark.createDataFrame([(k, int(c)) for k, c in enumerate(s)], "pos long, c long").repartition(3)
