@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import fresh
+from .common import fresh, trim
 
 GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 GEAR[0] = 0
@@ -107,6 +107,7 @@ FOUND = "digest long, id long, th int, at int"
 
 def _rows(batches, sizes: bool):
     """Chunks; with sizes also each one's length, and the words in it and in reach on either side (10 bits each)."""
+    trim()
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)

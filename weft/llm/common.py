@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +97,16 @@ def few(df: DataFrame) -> tuple[DataFrame, int]:
     return (F.broadcast(df) if n <= FEW else df), n
 
 
+def trim() -> None:
+    """Give back what earlier tasks of this worker process have freed; workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest index of the component of each of n nodes under the edges (i, j)."""
     root = np.arange(n)

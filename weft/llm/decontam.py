@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, few, fresh
+from .common import checkpoint, few, fresh, trim
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")  # after lower-casing; bytes of UTF-8 above 7F are all word bytes
 LOWER = np.arange(256, dtype=np.uint8)
@@ -144,6 +144,7 @@ def _places(docs: DataFrame, bitmap: tuple[np.ndarray, np.ndarray], size: int) -
     def run(batches):
         from pyspark import TaskContext
 
+        trim()
         bits = np.zeros(BITS // 64, np.uint64)
         bits[bitmap[0]] = bitmap[1]
         has = lambda x: (bits[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) > 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, trim
 from .tokens import Encoder
 
 
@@ -29,6 +29,7 @@ def pieces(docs: DataFrame, path: str, words: bool, end_id: int, length: int, id
     """(doc_id, start, length, ids_crc32, doc_tokens): one row for each run of at most `length` ids of a document."""
 
     def run(batches):
+        trim()
         enc, end = Encoder.of(path, words), np.array([end_id], np.uint32)
         for b in batches:
             for at in range(0, b.num_rows, 1024):

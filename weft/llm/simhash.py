@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, few, fresh, local_roots
+from .common import checkpoint, components, few, fresh, local_roots, trim
 
 CHUNK, GROUP = 4096, 4
 #: From the hash of a shingle to another one.
@@ -167,6 +167,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, least: float)
     """(id, th, key, n, fp, fq, prefix): th is a hash of the text, key of its set of shingles, fp and fq the set's fingerprint of 128 bits."""
 
     def run(batches):
+        trim()
         for b in batches:
             key, n, fp, fq, prefix = [], [], [], [], []
             for t in b.column(2).cast(pa.binary()):
@@ -190,6 +191,7 @@ def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, id_col: str, tex
     wanted, _ = few(wanted)  # where they are few, no text is shuffled
 
     def sets(batches):
+        trim()
         for b in batches:
             rows = [np.unique(shingles(t.as_py() or b"", width)).tobytes() for t in b.column(0).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh3_64_intdigest(r) for r in rows], np.uint64).view(np.int64)), pa.array(rows, pa.binary())], names=["key", "s"])

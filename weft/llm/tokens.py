@@ -51,7 +51,7 @@ class Encoder:
 
     held: dict = {}
 
-    def __init__(self, path: str, words: bool, most: int = 96 << 20):
+    def __init__(self, path: str, words: bool, most: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
