@@ -1,4 +1,7 @@
-"""Suffix-array dedup: every byte of a long repeated string goes, found by a distributed difference-cover suffix sort.
+"""Suffix-array dedup: every byte of a long repeated string goes.
+
+Windows are dealt by anchors, and a difference-cover suffix sort within tasks of bounded size settles what differs around
+an anchor. The suffix sort of the whole corpus is in dcover; it moves too much for the corpora at hand (see the README).
 
 A string of LENGTH bytes (a window) that starts at two places is repeated; all bytes of repeated windows are removed.
 
@@ -13,8 +16,9 @@ A string of LENGTH bytes (a window) that starts at two places is repeated; all b
    neighbouring windows have in common, and those whose common bytes stand elsewhere too are grouped by digest.
 
 Null and empty texts have no bytes, and texts under LENGTH bytes lose none. Repeated rows are documents of their own and
-so remove each other; rows are told apart by id and text hash. An empty table gives no rows; columns other than the id
-and the text are not read.
+so remove each other; rows are told apart by id and text hash. Very long texts are read in stretches of BLOCK bytes that
+overlap. Equal contexts are ties, and any of them stands for all. An empty table gives no rows; columns other than the id
+and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
