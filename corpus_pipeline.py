@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from weft.llm import chunks, decontam, packing, queries, simhash, toxicity
 from weft.llm.common import delete_path, read_table, table_path
 
-#: Near copies have this Jaccard similarity of their sets of five words, at least; the sets are compared exactly.
-LEAST = 0.8
-
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text is scored as toxic go, row by row; a null or empty text is clean."""
@@ -18,9 +15,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays, the one with the smallest id. Rows that share an id are told apart by
+    """One row of each group of near copies, linked by SimHash, stays, the one with the smallest id. Rows that share an id are told apart by
     their texts, rows that repeat both are copies; all empty and null texts are copies of one another."""
-    return simhash.keep_first(docs, width=5, least=LEAST).select(docs.columns)
+    return simhash.keep_first(docs).select(docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -304,6 +304,31 @@ def test_keep_first_tells_rows_of_one_id_apart(spark):
     assert simhash.keep_first(df.where("doc_id < 0")).columns == df.columns
 
 
+@pytest.mark.parametrize("chunk", [4096, 5])
+def test_linked_copies(spark, monkeypatch, chunk):
+    """The pipeline's stage links by SimHash: by two fingerprints, as plain comparison of all pairs does."""
+    rng = np.random.default_rng(14)
+    texts = [None, "", "one two", " ".join(["again"] * 50)]
+    for n in (30, 60, 150, 150):
+        w = sentence(rng, n).split()
+        for edits in range(8):
+            v = list(w)
+            for k in rng.integers(0, n, n * edits // 60):
+                v[k] = sentence(rng, 1) + "x"
+            texts.append(" ".join(v))
+    first = [simhash.shingles((t or "").encode(), 3) for t in texts]
+    both = [(simhash.majority(s), simhash.majority((s ^ (s >> np.uint64(29))) * simhash.MIX)) for s in first]
+    apart = lambda i, j: [(x ^ y).bit_count() for x, y in zip(both[i], both[j])]
+    root = roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if apart(i, j)[0] <= 12 and sum(apart(i, j)) <= 28])
+    assert 8 < len(set(root)) < len(texts) - 8
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = by_id(simhash.linked_copies(docs))
+    assert [(got[k].component_id, got[k].kept) for k in range(len(texts))] == [(r, r == k) for k, r in enumerate(root)]
+    assert {r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, "").collect()} == set(root)
+    assert simhash.linked_copies(docs.where("doc_id < 0")).count() == 0
+
+
 def test_near_copies(spark, monkeypatch):
     rng = np.random.default_rng(12)
     texts = [None, "", "one two", "one two", " ".join(["again"] * 50)]

@@ -9,7 +9,9 @@ Null and empty texts have fingerprint zero and link like any other; repeated row
 gives no rows; columns other than the id and the text are not read, whatever their names. Equal fingerprints are ties and
 share the smallest id; very long texts are hashed whole.
 
+linked_copies() has a second fingerprint, so that a larger radius links no unrelated texts; the pipeline goes through it.
 near_copies() links by the exact Jaccard similarity of the sets of shingles instead; fingerprints only thin its candidates.
+These are as many as a group of unlike texts that share a hash has pairs, so it is not for large corpora.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, components, few, fresh, local_roots, trim
@@ -76,43 +78,59 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, fp long")
 
 
-def compare(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the uint64 values of a and b (or within a), reduced to a spanning forest."""
-    left, right = [], []
-    step = max(1, (1 << 19) // max(1, len(b)))
-    for at in range(0, len(a), step):
-        x = a[at : at + step, None] ^ b[None, :]
-        i, j = np.nonzero(np.bitwise_count(x) <= radius)
+def compare(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], same: bool, radius: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the fingerprints of a and b (or within a) as places in a followed by b, reduced to a spanning forest.
+
+    a, b: a uint64 array, or two of second fingerprints too; those of a link differ in `total` bits at most over both.
+    """
+    left, right, n = [], [], len(a[0])
+    step = max(1, (1 << 17) // max(1, len(b[0])))
+    shape = min(step, n), len(b[0])
+    xor, bits, near = np.empty(shape, np.uint64), np.empty(shape, np.uint8), np.empty(shape, bool)
+    for at in range(0, n, step):
+        m = min(step, n - at)
+        np.bitwise_xor(a[0][at : at + m, None], b[0][None, :], out=xor[:m])
+        np.bitwise_count(xor[:m], out=bits[:m])
+        np.less_equal(bits[:m], radius, out=near[:m])
+        if not near[:m].any():
+            continue
+        i, j = np.nonzero(near[:m])
         i = i + at
-        if same:
-            keep = i < j
-            i, j = i[keep], j[keep]
+        keep = i < j if same else np.ones(len(i), bool)
+        if len(a) > 1:
+            keep &= sum(np.bitwise_count(x[i] ^ y[j]).astype(np.int64) for x, y in zip(a, b)) <= total
+        i, j = i[keep], j[keep]
         left.append(i)
-        right.append(j)
-    i, j = np.concatenate(left or [np.empty(0, int)]), np.concatenate(right or [np.empty(0, int)])
-    if not len(i):
-        return a[:0], a[:0]
-    nodes = a if same else np.concatenate([a, b])
-    root = local_roots(len(nodes), i, j if same else j + len(a))
+        right.append(j if same else j + n)
+    if not left:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    root = local_roots(n if same else n + len(b[0]), np.concatenate(left), np.concatenate(right))
     child = np.nonzero(root != np.arange(len(root)))[0]
-    return nodes[child], nodes[root[child]]
+    return child, root[child]
 
 
-def links(values: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
+def links(values: DataFrame, radius: int = 4, chunk: int | None = None, total: int | None = None) -> DataFrame:
     """Forest of links (a, b) between the distinct longs in values.fp that differ in radius bits or fewer.
 
+    Where `total` is given, values has second fingerprints in fq: linked rows differ in `total` bits at most over both, and
+    are named by their node_key.
+
     A tile's chunks are gathered in groups of GROUP, and each pair of groups of two near tiles is a key of its own, so the
     work of a large tile is dealt to many tasks. Tasks are as many as the comparisons ask for, whatever the rows' bytes.
+    Tiles are wider for a larger radius, so that each has about as many near ones.
     """
-    spark = values.sparkSession
-    v = values.select("fp", F.bit_count(F.shiftrightunsigned("fp", 32)).alias("hi"), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).alias("lo"))
+    spark, chunk, cell = values.sparkSession, chunk or CHUNK, max(1, radius // 4)
+    words = ["fp"] if total is None else ["fp", "fq"]
+    count = lambda c: F.floor(F.bit_count(c) / cell).cast("int")
+    v = values.select(*words, count(F.shiftrightunsigned("fp", 32)).alias("hi"), count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).alias("lo"))
     tiles = {(r.hi, r.lo): r.n for r in v.groupBy("hi", "lo").agg(F.count("*").alias("n")).collect()}  # 33 x 33 rows at most
-    near = [(h, k) for h in range(0, radius + 1) for k in range(-radius, radius + 1) if abs(h) + abs(k) <= radius and (h > 0 or k >= 0)]
+    least = lambda d: (abs(d) - 1) * cell + 1 if d else 0
+    near = [(h, k) for h in range(0, radius + 1) for k in range(-radius, radius + 1) if least(h) + least(k) <= radius and (h > 0 or k >= 0)]
     work = sum(n * tiles.get((hi + h, lo + k), 0) for (hi, lo), n in tiles.items() for h, k in near)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, work >> 27))
     sizes = spark.createDataFrame([(*t, -(-n // chunk), -(-n // (chunk * GROUP))) for t, n in tiles.items()], "hi int, lo int, chunks long, groups long")
-    v = v.join(F.broadcast(sizes.select("hi", "lo", "chunks")), ["hi", "lo"]).withColumn("salt", F.pmod(F.xxhash64("fp"), "chunks"))
-    chunks = checkpoint(v.groupBy("hi", "lo", "salt").agg(F.collect_list("fp").alias("fps")))
+    v = v.join(F.broadcast(sizes.select("hi", "lo", "chunks")), ["hi", "lo"]).withColumn("salt", F.pmod(F.xxhash64(*words), "chunks"))
+    chunks = checkpoint(v.groupBy("hi", "lo", "salt").agg(F.flatten(F.collect_list(F.array(*words))).alias("fps")))
     offsets = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(k).alias("k")) for h, k in near])
     group = F.floor(F.col("salt") / GROUP).cast("long")
 
@@ -129,16 +147,27 @@ def links(values: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
     once = ~same | (F.col("ga") <= F.col("gb"))
     a, b = (side(*how).where(once).repartition(tasks, *keys) for how in ((1, "ga", "gb", "x"), (-1, "gb", "ga", "y")))
     pairs = a.join(b, keys).where(~same | (F.col("sga") <= F.col("sgb"))).select("x", "y", (same & (F.col("sga") == F.col("sgb"))).alias("self"))
+    width = len(words)
+    ends = [f"{s}{k}" for s in "ab" for k in range(width)]
 
     def run(batches):
         for p in batches:
             for k in range(p.num_rows):
-                x, y = (p.column(c)[k].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1))
-                i, j = compare(x, y, p.column(2)[k].as_py(), radius)
+                x, y = (p.column(c)[k].values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width) for c in (0, 1))
+                own = p.column(2)[k].as_py()
+                parts = [tuple(np.ascontiguousarray(t[:, w]) for w in range(width)) for t in (x, y)]
+                i, j = compare(*parts, own, radius, total or radius)
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(i.view(np.int64)), pa.array(j.view(np.int64))], names=["a", "b"])
+                    nodes = (x if own else np.concatenate([x, y])).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[at, w].copy()) for at in (i, j) for w in range(width)], names=ends)
+
+    found = pairs.mapInArrow(run, ", ".join(f"{c} long" for c in ends))
+    return found.select(F.col("a0").alias("a"), F.col("b0").alias("b")) if width == 1 else found.select(node_key("a0", "a1").alias("a"), node_key("b0", "b1").alias("b"))
+
 
-    return pairs.mapInArrow(run, "a long, b long")
+def node_key(fp: str, fq: str) -> Column:
+    """One long for two fingerprints."""
+    return F.xxhash64(fp, fq)
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -267,11 +296,37 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(firsts, "c").select(F.col("id").alias(id_col), "th", F.col("first.id").alias("component_id"), F.struct("id", "th").eqNullSafe(F.col("first")).alias("kept"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """One row of each component of near copies, all columns: the least by id and text. Of rows that repeat both, the one
+def linked_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 12, total: int = 28) -> DataFrame:
+    """(id_col, th, component_id, kept) as in near_copies(), by fingerprints alone: texts are linked where their fingerprints
+    differ in `radius` bits or fewer, and in `total` or fewer together with second fingerprints of other hashes.
+
+    Two unrelated texts are that close with a chance of about 1e-11; `radius` alone would link one pair in 5 million.
+    """
+
+    def run(batches):
+        for b in batches:
+            fp, fq = [], []
+            for t in b.column(2).cast(pa.binary()):
+                s = shingles(t.as_py() or b"", width)
+                fp.append(majority(s))
+                fq.append(majority((s ^ (s >> np.uint64(29))) * MIX))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, fq)]], names=["id", "th", "fp", "fq"])
+        trim()
+
+    text = F.col(text_col).cast("string")
+    base = checkpoint(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t")).mapInArrow(run, "id long, th long, fp long, fq long"))
+    least = checkpoint(base.groupBy("fp", "fq").agg(F.min(F.struct("id", "th")).alias("least")))
+    comp = components(links(least, radius, total=total))
+    named = least.withColumn("node", node_key("fp", "fq")).join(comp, "node", "left").select("fp", "fq", "least", F.coalesce("component", "node").alias("c"))
+    named = checkpoint(named.join(named.groupBy("c").agg(F.min("least").alias("first")), "c").select("fp", "fq", "first"))
+    return base.join(named, ["fp", "fq"]).select(F.col("id").alias(id_col), "th", F.col("first.id").alias("component_id"), F.struct("id", "th").eqNullSafe(F.col("first")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 12, total: int = 28) -> DataFrame:
+    """One row of each component of linked_copies(), all columns: the least by id and text. Of rows that repeat both, the one
     whose columns come first as JSON stays."""
     names, (one, th, n) = docs.columns, fresh(docs.columns, "id", "th", "n")
-    marked = near_copies(docs, id_col, text_col, width, least).groupBy(F.col(id_col).alias(one), F.col("th").alias(th)).agg(F.count("*").alias(n), F.max("kept").alias("kept"))
+    marked = linked_copies(docs, id_col, text_col, width, radius, total).groupBy(F.col(id_col).alias(one), F.col("th").alias(th)).agg(F.count("*").alias(n), F.max("kept").alias("kept"))
     other = checkpoint(marked.where(f"NOT kept OR {n} > 1"))  # all but the single rows that stay
     same = lambda x: docs[id_col].cast("long").eqNullSafe(x[one]) & (F.xxhash64(docs[text_col].cast("string")) == x[th])
     twice, n_twice = few(checkpoint(other.where("kept").select(one, th)))
